@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import mixing, simhash, urls
+from terrane.llm import bpe, mixing, simhash, tokenfile, urls
 from terrane.llm.runtime import documents
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op2(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.op5(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(documents(spark, sf_dir))
 
@@ -20,5 +29,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.op10(documents(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op9_simhash, op10_urls)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_tokenfile, op8_mixing, op9_simhash, op10_urls)}
 ORACLE_SQL = {"op10_urls": urls.ORACLE}

@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch. Texts may be long, so batches hold few of them.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch at most. Texts may be long, so bytes decide.
+BATCH_ROWS, BATCH_BYTES = 10_000, 2 << 20
 
 _OWN: dict[str, str] = {}
 
@@ -19,8 +19,9 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows, so that long texts don't add up in memory."""
+    """Arrow batches of a few MB, so that long texts don't add up in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

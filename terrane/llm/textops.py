@@ -70,21 +70,33 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U64(32))
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, eight bytes at a step for all spans at once."""
+def _words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at every place, with zeros after the end."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
-    at = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span, or all of a shorter one, as an integer."""
+    return _words_at(data)[starts] & _KEEP[np.minimum(ends - starts, 8)]
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes at a step for all spans at once."""
+    at = _words_at(data)
     left = (ends - starts).astype(np.int64)
     h = mix64(left.astype(_U64) + _U64(0x9E3779B97F4A7C15))
-    live, pos = np.arange(len(starts)), starts.astype(np.int64)
+    h = mix64(h ^ (at[starts] & _KEEP[np.minimum(left, 8)])) + _U64(0x9E3779B97F4A7C15)
+    live = np.flatnonzero(left > 8)
+    pos, left = starts[live].astype(np.int64) + 8, left[live] - 8
     while len(live):
-        take = np.minimum(left[live], 8)
-        keep = np.where(take == 8, ~_U64(0), (_U64(1) << (take.astype(_U64) * _U64(8) & _U64(63))) - _U64(1))
-        h[live] = mix64(h[live] ^ (at[pos[live]] & keep)) + _U64(0x9E3779B97F4A7C15)
-        pos[live] += 8
-        left[live] -= 8
-        live = live[left[live] > 0]
+        h[live] = mix64(h[live] ^ (at[pos] & _KEEP[np.minimum(left, 8)])) + _U64(0x9E3779B97F4A7C15)
+        more = left > 8
+        live, pos, left = live[more], pos[more] + 8, left[more] - 8
     return h
 
 
