@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import bpe, mixing, simhash, tokenfile, urls
+from terrane.llm import bpe, lm, media, mixing, simhash, tokenfile, urls
 from terrane.llm.runtime import documents
 
 
@@ -13,6 +13,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op2(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op3(documents(spark, sf_dir))
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op4(documents(spark, sf_dir))
+
+
 def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.op5(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,5 +37,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.op10(documents(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_tokenfile, op8_mixing, op9_simhash, op10_urls)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_media, op4_lm, op5_tokenfile, op8_mixing, op9_simhash, op10_urls)}
 ORACLE_SQL = {"op10_urls": urls.ORACLE}
