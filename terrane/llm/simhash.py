@@ -5,12 +5,12 @@ Cut into three segments (21, 21 and 22 bits), at least one segment of a linked
 pair differs in at most one bit, for 2 + 2 + 2 > 4. Each segment is therefore
 indexed under its one-wildcard variants: for every bit of it a key with that bit
 deleted, 64 keys a fingerprint. Equal segments share all their keys, segments one
-bit apart share exactly one, so one equality join finds every candidate. The join
-condition verifies the whole distance and accepts a pair only under its first
-common key, so each link leaves the join once.
+bit apart share exactly one, so an equality join on keys meets every candidate. The join
+deals fingerprints by key, sorts, verifies the whole distance of those that meet under
+their first common key, and returns the links of a spanning forest of each key: never
+all pairs of a group.
 
 Equal fingerprints collapse to one row before the join, so copies never multiply.
-The join is a plain sort-merge self-join, whose hot keys adaptive execution splits.
 
 Edge cases: null and wordless texts have fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle of all their words; repeated
@@ -37,6 +37,8 @@ WIDTH, SEED, MAX_BITS = 4, 42, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Shingles whose bits are counted at once.
 CHUNK = 100_000
+#: Rows of keys that are compared at once, unless one key has more.
+HELD = 100_000
 
 
 def fingerprints(column: pa.Array, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
@@ -85,35 +87,90 @@ def wildcard_keys() -> Column:
     return F.expr(f"array({', '.join(keys)})")
 
 
-def first_common_key(key: str, x: str) -> str:
-    """SQL: is key the first that two fingerprints with difference x share? They share this one."""
-    say, passed = [], []
-    for lo, size in SEGMENTS:
-        mask = ((1 << size) - 1) << lo
-        part = f"({x} & {mask if mask < 1 << 63 else mask - (1 << 64)}L)"
-        here = f"shiftright({key}, 32) >= {lo} AND shiftright({key}, 32) < {lo + size}"
-        say.append(" AND ".join([f"({here})", f"({part} <> 0 OR shiftright({key}, 32) = {lo})", *passed]))
-        passed.append(f"bit_count({part}) > 1")
-    return " OR ".join(f"({s})" for s in say)
+def first_common_bit(x: np.ndarray) -> np.ndarray:
+    """Of fingerprints with difference x: the deleted bit of the first key that they share, -1 for none."""
+    out = np.full(len(x), -1, np.int64)
+    for lo, size in reversed(SEGMENTS):
+        part = (x >> np.uint64(lo)) & np.uint64((1 << size) - 1)
+        ones = np.bitwise_count(part)
+        at = np.bitwise_count(np.maximum(part, 1) - np.uint64(1))  # the lowest bit's place, where one bit is set
+        out = np.where(ones == 0, lo, np.where(ones == 1, lo + at, out))
+    return out
+
+
+def local_forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key: (fingerprint, least fingerprint of its component within the key), linked ones only.
+
+    A pair counts under its first common key alone. Rows of one key meet at growing
+    distance, all keys at once, so no list of pairs outlives a step."""
+    n = len(key)
+    label = np.arange(n)
+    bit = key >> 32
+    run = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    left = np.repeat(np.r_[run[1:], n], np.diff(np.r_[run, n])) - np.arange(n)  # rows of the key from here on
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def merge() -> None:
+        a, b = (np.concatenate(c) for c in zip(*pairs))
+        while True:  # least labels over the links, then over labels of labels
+            before = label.copy()
+            least = np.minimum(label[a], label[b])
+            for side in (a, b, before[a], before[b]):
+                np.minimum.at(label, side, least)
+            label[:] = label[label]
+            if (label == before).all():
+                return
+
+    at, step = np.flatnonzero(left > 1), 1
+    while len(at):
+        x = fp[at] ^ fp[at + step]
+        near = np.flatnonzero(np.bitwise_count(x) <= MAX_BITS)
+        near = near[first_common_bit(x[near]) == bit[at[near]]]
+        if len(near):
+            pairs.append((at[near], at[near] + step))
+            held += len(near)
+            if held > 4 * n + 1_000_000:
+                merge()
+                linked = np.flatnonzero(label != np.arange(n))
+                pairs, held = [(linked, label[linked])], len(linked)
+        step += 1
+        at = at[left[at] > step]
+    if pairs:
+        merge()
+    linked = np.flatnonzero(label != np.arange(n))
+    return fp[linked], fp[label[linked]]
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Every pair a < b of different fingerprints at MAX_BITS or fewer differing bits, once.
+    """Links a, b that join the same components as all pairs of fingerprints at MAX_BITS or fewer differing bits.
+
+    fps: distinct fingerprints, column fp. A key with k fingerprints gives k - 1 links at most."""
+    keys = fps.select("fp", F.explode(wildcard_keys()).alias("key")).repartition("key").sortWithinPartitions("key")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            key = np.r_[key, batch.column(1).to_numpy()]
+            fp = np.r_[fp, batch.column(0).to_numpy().view(np.uint64)]
+            if len(key) < HELD or key[0] == key[-1]:
+                continue
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            yield out(*local_forest(key[:cut], fp[:cut]))
+            key, fp = key[cut:], fp[cut:]
+        yield out(*local_forest(key, fp))
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    fps: distinct fingerprints, column fp."""
-    keys = fps.select("fp", F.explode(wildcard_keys()).alias("key"))
-    pair = keys.alias("a").hint("merge").join(
-        keys.alias("b"),
-        F.expr(f"a.key = b.key AND a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= {MAX_BITS} AND ({first_common_key('a.key', '(a.fp ^ b.fp)')})"),
-    )
-    return pair.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return keys.mapInArrow(kernel, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: the id, kept columns, ``fp`` and ``component_id``, the smallest id reachable."""
     fps = written(with_fingerprints(docs, text, tuple(dict.fromkeys((id_col, *keep)))), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct")
-    labels = connected(written(links(distinct.select("fp")), "links"))
+    labels = connected(links(distinct.select("fp")))
     named = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("_least").alias("component_id"))
     named = written(named.select("fp", "label").join(least, "label").select("fp", "component_id"), "components")
