@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,14 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS, BATCH_BYTES = 10_000, 2 << 20
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once for each Spark context."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="terrane-")) / "terrane.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    sc.addPyFile(str(out))
+    _SHIPPED.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB, so that long texts don't add up in memory."""
+    """Arrow batches of a few MB, so that long texts don't add up in memory; and the package on the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
