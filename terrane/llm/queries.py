@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import bpe, lm, media, mixing, quality, simhash, tokenfile, urls
+from terrane.llm import bpe, lm, media, mixing, quality, simhash, tokenfile, toxicity, urls
 from terrane.llm.runtime import documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op2(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -41,5 +45,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.op10(documents(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_media, op4_lm, op5_tokenfile, op7_quality, op8_mixing, op9_simhash, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_media, op4_lm, op5_tokenfile, op7_quality, op8_mixing, op9_simhash, op10_urls)}
 ORACLE_SQL = {"op10_urls": urls.ORACLE}
