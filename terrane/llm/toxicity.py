@@ -43,7 +43,10 @@ from terrane.llm.textops import lower_ascii, mix64, span_hash, text_buffer, word
 
 SYMBOLS, DECAY, LONG = 64, np.float32(0.5), 20
 TOXIC, CLEAN = 1500, 3000
-LANDMARKS, NEGATIVES, ROUNDS = 120, 3000, 3
+LANDMARKS, NEGATIVES, ROUNDS = 200, 3000, 3
+#: Share of the toxic documents of the sample, copies aside, that a positive unit occurs in at least,
+#: and from which on it needs no document of its own to explain.
+SHARE, OFTEN = 0.002, 0.05
 CACHE = 1 << 20
 FOLDS, HELD = 3, 1
 
@@ -214,7 +217,7 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, flo
     for _ in range(30):
         own = (1 - y * (z @ w)) > 0
         zc = z[own] * cost[own, None]
-        new = np.linalg.solve(zc.T @ z[own] + np.diag(np.r_[np.full(x.shape[1], 0.05), 1e-6]), zc.T @ y[own])
+        new = np.linalg.solve(zc.T @ z[own] + np.diag(np.r_[np.full(x.shape[1], 0.01), 1e-6]), zc.T @ y[own])
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
@@ -300,11 +303,13 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
         for u in own:
             seen[u].add(g)
     n_clean = Counter(u for own in clean_units for u in own)
-    least = max(2, round(0.003 * len(set(owner))))
+    least = max(2, round(SHARE * len(set(owner))))
     candidates = sorted((u for u, g in seen.items() if len(g) >= least and not n_clean[u]), key=lambda u: (-len(seen[u]), u))[:2000]
     # what any clean document of the training part has isn't positive
     found = _occurring(rows.where("toxic = 0"), candidates)
-    positive = [u for u in candidates if u not in found][:400]
+    candidates = [u for u in candidates if u not in found]
+    often = [u for u in candidates if len(seen[u]) >= max(3, OFTEN * len(set(owner)))]
+    positive = list(dict.fromkeys(explaining(candidates, toxic_units) + often))
     if not positive:
         return flat
     scorer = fit(positive, sorted(n_clean))
@@ -313,6 +318,25 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     return scorer
 
 
+def explaining(candidates: list[bytes], documents: list[list[bytes]]) -> list[bytes]:
+    """Units that explain why documents are toxic: each in turn the one that occurs in most
+    documents not yet explained, as long as there are two. What only goes along with another
+    toxic unit, as all other words of a copied document do, explains nothing."""
+    held = dict.fromkeys(candidates, 0)
+    for k, own in enumerate(documents):
+        for u in own:
+            if u in held:
+                held[u] |= 1 << k
+    open_, chosen = (1 << len(documents)) - 1, []
+    while held:
+        best = max(candidates, key=lambda u: (held[u] & open_).bit_count())
+        if (held[best] & open_).bit_count() < 2:
+            break
+        chosen.append(best)
+        open_ &= ~held[best]
+    return chosen
+
+
 def _occurring(rows: DataFrame, candidates: list[bytes]) -> set[bytes]:
     """Those of at most 2000 candidates that occur in rows."""
     wanted = frozenset(candidates)
