@@ -53,12 +53,13 @@ def level(counts: DataFrame, key: str, prior: str) -> DataFrame:
         F.count_if(has).cast("double").alias("g"), F.sum("n").cast("double").alias("t"), F.sum("k").cast("double").alias("b"),
         F.sum(F.col("n") * F.col("n")).cast("double").alias("q"), F.sum(F.when(has, F.col("k") * F.col("k") / F.col("n"))).alias("m"),
     )
-    between = (F.col("m") - F.col("b") * F.col("b") / F.col("t")) / (F.col("g") - 1)
-    within = (F.col("b") - F.col("m")) / (F.col("t") - F.col("g"))
-    each = (F.col("t") - F.col("q") / F.col("t")) / (F.col("g") - 1)
-    share = (between - within) / (between + (each - 1) * within)
+    over = F.try_divide  # null where there is nothing to estimate from
+    between = over(F.col("m") - over(F.col("b") * F.col("b"), F.col("t")), F.col("g") - 1)
+    within = over(F.col("b") - F.col("m"), F.col("t") - F.col("g"))
+    each = over(F.col("t") - over(F.col("q"), F.col("t")), F.col("g") - 1)
+    share = over(between - within, between + (each - 1) * within)
     usable = (F.col("g") > 1) & (F.col("t") > F.col("g")) & (between + (each - 1) * within > 0) & (between > within)
-    kappa = F.when(usable, F.least(F.greatest(1 / share - 1, F.lit(WEIGHT[0])), F.lit(WEIGHT[1]))).otherwise(F.lit(WEIGHT[1]))
+    kappa = F.when(usable, F.least(F.greatest(over(F.lit(1.0), share) - 1, F.lit(WEIGHT[0])), F.lit(WEIGHT[1]))).otherwise(F.lit(WEIGHT[1]))
     out = counts.crossJoin(F.broadcast(s.select(kappa.alias("kappa"))))  # one row, whatever the input
     mean = (F.col("k") + F.col("kappa") * F.col(prior)) / (F.col("n") + F.col("kappa"))
     out = out.withColumn(f"{key}_mean", mean)
