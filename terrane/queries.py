@@ -553,3 +553,115 @@ def d03_domain_regions(spark, d):
 def d10_sample_class(spark, d):
     u = draw(21, "event_id") / F.lit(4294967296.0)
     return fx.events(spark, d).select("event_id", F.when(u < 0.5, "k1").when(u < 0.8, "k2").otherwise("k3").alias("y"))
+
+
+def _fit(spark, d, groups: int = 2):
+    """A partition fit on a tenth of the units' rows of the derived tables, from labels by place."""
+    import pandas as pd
+
+    from terrane.operators import partition
+
+    u = fx.units(spark, d)
+    rows = fx.obs(spark, d).selectExpr("unit", "y", "x1 / 50 z1", "x2 * 10 z2", "x3 * 10 z3")
+    start = u.select("unit", F.expr(f"cast(pmod(unit, {groups}) as int) g")).toPandas()
+    control = partition.Control(min_units=3, max_iter=3, lam=0.002)
+    return partition.fit_partition(rows, u, ["z1", "z2", "z3"], CLASSES, pd.DataFrame(start), control), control
+
+
+@query("SELECT true AS monotone, true AS feasible, true AS converged")
+def m16_partition(spark, d):
+    f, control = _fit(spark, d)
+    import numpy as np
+
+    gains = np.diff(f.trace)
+    good = bool((gains >= -1e-6 * np.abs(f.trace[0])).all())
+    sizes = np.bincount(f.labels, minlength=len(f.engines))
+    return spark.createDataFrame([(good, bool((sizes >= control.min_units).all()), all(e.converged for e in f.engines))], "monotone boolean, feasible boolean, converged boolean")
+
+
+@query("SELECT true AS weighted_n, true AS finite, true AS ordered")
+def a15_criteria(spark, d):
+    import numpy as np
+
+    from terrane.operators import partition
+
+    f, _ = _fit(spark, d)
+    units = np.bincount(f.labels, minlength=len(f.engines)).astype(float)
+    c = partition.criteria(f.loglik, f.rows, units, f.edf, 3, 3)
+    row = (abs(c["weighted_n"] - f.rows.sum()) < 1e-6, bool(np.isfinite(list(c.values())).all()), bool(c["aic_effective"] <= c["bic_effective"]))
+    return spark.createDataFrame([tuple(map(bool, row))], "weighted_n boolean, finite boolean, ordered boolean")
+
+
+@query("SELECT true AS stationary, true AS sums_to_one, true AS shrinks")
+def m05_elastic_net(spark, d):
+    """A grouped fit on per-supplier means, its optimality, and that more penalty shrinks it."""
+    import numpy as np
+
+    from terrane.operators import solver
+
+    v = fx.table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(6)]).where("vec_id < 2000 AND label < 4").toPandas()
+    x, y, classes = v[[f"v{i}" for i in range(6)]].to_numpy(), v["label"].to_numpy(int), ("0", "1", "2", "3")
+    e, more = solver.fit(x, y, classes, 0.6, 0.01), solver.fit(x, y, classes, 0.6, 0.05)
+    z = (x - x.mean(0)) / e.scale
+    g = (e.predict(x) - np.eye(4)[y]).T @ z / len(y) + 0.01 * 0.4 * e.coef[:, 1:] * e.scale
+    b = e.coef[:, 1:] * e.scale
+    norm = np.sqrt((b**2).sum(0))
+    worst = max([np.abs(g[:, j] + 0.006 * b[:, j] / norm[j]).max() if norm[j] > 0 else max(0.0, np.sqrt((g[:, j] ** 2).sum()) - 0.006) for j in range(6)])
+    row = (worst < 1e-5, np.abs(e.predict(x).sum(1) - 1).max() < 1e-12, more.penalty() <= e.penalty() and more.active() <= e.active())
+    return spark.createDataFrame([tuple(map(bool, row))], "stationary boolean, sums_to_one boolean, shrinks boolean")
+
+
+@query("SELECT true AS bounded, true AS falls")
+def m12_effective_df(spark, d):
+    import numpy as np
+
+    from terrane.operators import solver
+
+    v = fx.table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)]).where("vec_id < 2000 AND label < 3").toPandas()
+    x, y, classes = v[[f"v{i}" for i in range(4)]].to_numpy(), v["label"].to_numpy(int), ("0", "1", "2")
+    df = [solver.effective_df(solver.fit(x, y, classes, 0.0, lam), x) for lam in (0.0, 0.01, 0.1, 1.0)]
+    return spark.createDataFrame([(bool(0 <= min(df) and max(df) <= 2 * 5 + 1e-6), bool((np.diff(df) <= 1e-6).all()))], "bounded boolean, falls boolean")
+
+
+_PEN = "WITH c AS (SELECT g, j, t, ((7 * t + 3 * j + 5 * g) % 11 - 5) / 10.0::DOUBLE AS b FROM (SELECT unnest([1,2,3]) g), (SELECT unnest([0,1,2]) j), (SELECT unnest([0,1,2,3]) t))"
+
+
+def _coefs(spark):
+    grid = [(g, j, t, ((7 * t + 3 * j + 5 * g) % 11 - 5) / 10) for g in GROUPS for j in range(3) for t in range(4)]
+    return spark.createDataFrame(grid, "g int, j int, t int, b double")
+
+
+@query(_PEN + " SELECT g, round(sum(0.7 * abs(b) + 0.15 * b * b), 6) AS plain, round((SELECT sum(0.7 * sqrt(s)) FROM (SELECT sum(b * b) s FROM c d WHERE d.g = c.g AND t > 0 GROUP BY t)) + sum(0.15 * b * b), 6) AS grouped FROM c WHERE t > 0 GROUP BY g")
+def m11_penalty(spark, d):
+    c = _coefs(spark).where("t > 0")
+    norm = c.groupBy("g", "t").agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("n"), F.sum(F.abs("b")).alias("a"), F.sum(F.col("b") * F.col("b")).alias("s"))
+    return rounded(norm.groupBy("g").agg(F.sum(0.7 * F.col("a") + 0.15 * F.col("s")).alias("plain"), F.sum(0.7 * F.col("n") + 0.15 * F.col("s")).alias("grouped")), "plain", "grouped")
+
+
+@query(_PEN + " SELECT g, CAST(count(DISTINCT t) AS BIGINT) AS active FROM c WHERE t > 0 AND abs(b) > 0.25 GROUP BY g")
+def m13_active_predictors(spark, d):
+    return _coefs(spark).where("t > 0 AND abs(b) > 0.25").groupBy("g").agg(F.countDistinct("t").alias("active"))
+
+
+@query(_PEN + " SELECT g, j, t, round(b - avg(b) OVER (PARTITION BY g, t), 6) + 0.0::DOUBLE AS b FROM c")
+def m10_sum_to_zero(spark, d):
+    return _coefs(spark).withColumn("b", F.round(F.col("b") - F.avg("b").over(W.partitionBy("g", "t")), 6) + F.lit(0.0))
+
+
+@query(_PEN + ", f AS (SELECT g, t, greatest(max(b), 0) - least(min(b), 0) AS reach FROM c WHERE t > 0 GROUP BY 1, 2) SELECT g, t, round(reach, 6) AS reach FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY reach DESC, t) rn FROM f) WHERE rn <= 2")
+def a34_top_features(spark, d):
+    f = _coefs(spark).where("t > 0").groupBy("g", "t").agg((F.greatest(F.max("b"), F.lit(0.0)) - F.least(F.min("b"), F.lit(0.0))).alias("reach"))
+    rn = F.row_number().over(W.partitionBy("g").orderBy(F.desc("reach"), "t"))
+    return f.withColumn("rn", rn).where("rn <= 2").select("g", "t", F.round("reach", 6).alias("reach"))
+
+
+@query(_PEN + ", k AS (SELECT unit, stratum FROM (SELECT s_suppkey AS unit, s_nationkey AS stratum FROM supplier)), w AS (SELECT unit, g, CASE WHEN g = stratum % 3 + 1 THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS w FROM k, (SELECT unnest([1,2,3]) AS g)) SELECT unit, j, t, round(sum(w * b), 6) AS b FROM w JOIN c USING (g) GROUP BY 1, 2, 3")
+def a21_local_coef(spark, d):
+    u = fx.units(spark, d).select("unit", "g0", F.explode(F.array(*[F.lit(g) for g in GROUPS])).alias("g"))
+    w = u.withColumn("w", F.when(F.col("g") == F.col("g0"), 0.8).otherwise(0.1))
+    return rounded(w.join(_coefs(spark), "g").groupBy("unit", "j", "t").agg(F.sum(F.col("w") * F.col("b")).alias("b")), "b")
+
+
+@query(with_ctes("units obs pred", "SELECT stratum, yhat, CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(avg({p}), 6) AS {p}" for p in PROBS) + " FROM pred GROUP BY 1, 2"))
+def m30_predict_mixture(spark, d):
+    return rounded(fx.predicted(spark, d).groupBy("stratum", "yhat").agg(F.count("*").alias("n"), *[F.avg(p).alias(p) for p in PROBS]), *PROBS)
