@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.functions.ship import ship
+
 CLASSES = ("A", "N", "R")
 EVENTS = ("click", "error", "purchase", "signup", "view")
 GROUPS = (1, 2, 3)
@@ -16,6 +18,7 @@ TERMS = ("1", "z1", "z2", "z3")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -665,3 +665,78 @@ def a21_local_coef(spark, d):
 @query(with_ctes("units obs pred", "SELECT stratum, yhat, CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(avg({p}), 6) AS {p}" for p in PROBS) + " FROM pred GROUP BY 1, 2"))
 def m30_predict_mixture(spark, d):
     return rounded(fx.predicted(spark, d).groupBy("stratum", "yhat").agg(F.count("*").alias("n"), *[F.avg(p).alias(p) for p in PROBS]), *PROBS)
+
+
+def _small(spark, d):
+    """The first 40 units of the derived tables with a bounded number of rows each, for local fits."""
+    u = fx.units(spark, d).where("unit < 40")
+    rows = fx.obs(spark, d).where("unit < 40").selectExpr("unit", "y", "x1 / 50 z1", "x2 * 10 z2", "x3 * 10 z3")
+    return u, rows
+
+
+@query("SELECT true AS all_units, true AS sums_to_one")
+def m25_gw_predict(spark, d):
+    from terrane.operators import gw
+
+    u, rows = _small(spark, d)
+    model = gw.fit_anchors(rows, u, u.where("unit % 4 = 0"), ["z1", "z2", "z3"], CLASSES, 8, 0.5, 0.01).cache()
+    p = gw.predict(rows, gw.nearest_coefficients(u, model), ["z1", "z2", "z3"], CLASSES)
+    total = F.aggregate("prob", F.lit(0.0), lambda a, b: a + b)
+    n = u.count()
+    return p.agg((F.countDistinct("unit") == n).alias("all_units"), F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+@query("SELECT true AS centred, true AS whole")
+def m24_local_coefficients(spark, d):
+    from terrane.operators import gw
+
+    u, rows = _small(spark, d)
+    coef = gw.nearest_coefficients(u, gw.fit_anchors(rows, u, u.where("unit % 3 = 0"), ["z1", "z2", "z3"], CLASSES, 10, 0.2, 0.05, False, False))
+    ok = F.lit(True)
+    for t in range(4):
+        ok = ok & (F.abs(sum((F.col("coef")[j * 4 + t] for j in range(3)), F.lit(0.0))) < 1e-9)
+    n = u.count()
+    return coef.agg(F.bool_and(ok).alias("centred"), (F.count("*") == n).alias("whole"))
+
+
+_GWK = ", k AS (SELECT i, j, d2, max(d2) OVER (PARTITION BY i) m FROM nn)"
+
+
+@query(with_ctes("units edges", f"{_GWK}, h AS (SELECT *, sqrt(m) * 1.0001 + 1e-12 AS h FROM k) SELECT i, j, round((1 - d2 / (h * h)) * (1 - d2 / (h * h)), 6) AS w FROM h"))
+def m26_bisquare_weights(spark, d):
+    u = fx.units(spark, d)
+    near = graph.nearest(u, u, 5, exclude_self=True).withColumn("h", F.sqrt(F.max("d2").over(W.partitionBy("i"))) * 1.0001 + 1e-12)
+    r = F.col("d2") / (F.col("h") * F.col("h"))
+    return near.select("i", "j", F.round((1 - r) * (1 - r), 6).alias("w"))
+
+
+@query(with_ctes("units", "SELECT 'r' AS run, unit, h AS cluster, CASE WHEN g0 = h THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS weight FROM units, (SELECT unnest([1, 2, 3]) AS h)"))
+def s04_membership_long(spark, d):
+    from terrane.sources.tables import membership_long
+
+    compact = labels(spark, d).select(F.lit("r").alias("run"), "unit", F.array(*[(F.col("g") == g).cast("double") for g in GROUPS]).alias("weights"))
+    return membership_long(compact)
+
+
+@query("SELECT true AS inside, CAST(300 AS BIGINT) AS n, CAST(3 AS BIGINT) AS regimes")
+def d01_locations(spark, d):
+    from terrane.operators import simulate as sim
+
+    u = sim.regimes(sim.locations(spark, 300, 5), "irregular", 3)
+    return u.agg(F.bool_and(sim.inside(F.col("cx"), F.col("cy"))).alias("inside"), F.count("*").alias("n"), F.countDistinct("regime").alias("regimes"))
+
+
+@query("SELECT CAST(60 * 8 AS BIGINT) AS n, true AS classes, true AS stays")
+def d11_panel(spark, d):
+    from terrane.operators import simulate as sim
+
+    p = sim.panel(sim.regimes(sim.locations(spark, 60, 5), "irregular", 3), 8, 4, 3, 9)
+    lag = panels.lag_design(p.select("unit", "t", "y"), ("1", "2", "3", "4")).agg(F.avg((F.col("y") == F.col("lag")).cast("double")).alias("s"))
+    return p.agg(F.count("*").alias("n"), F.bool_and(F.col("y").isin("1", "2", "3", "4")).alias("classes")).crossJoin(lag.select((F.col("s") > 0.25).alias("stays")))  # one row each
+
+
+@query(with_ctes("units", ", b AS (SELECT min(cx) x0, max(cx) x1, min(cy) y0, max(cy) y1 FROM units) SELECT unit, CAST(least(floor((cx - x0) / greatest(x1 - x0, 1e-12) * 2), 1) * 3 + least(floor((cy - y0) / greatest(y1 - y0, 1e-12) * 3), 2) + 1 AS INTEGER) AS regime FROM units, b"))
+def d12_grid_regimes(spark, d):
+    from terrane.operators import simulate as sim
+
+    return sim.regimes(fx.units(spark, d).select("unit", "cx", "cy"), "grid", 6).select("unit", "regime")

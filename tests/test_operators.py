@@ -160,3 +160,53 @@ def test_entry_imports_without_the_llm_package(tmp_path):
     copytree(root, tmp_path / "r", ignore=ignore_patterns(".git", "llm", "corpus_pipeline.py"))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"], cwd=tmp_path / "r", capture_output=True, text=True)
     assert out.returncode == 0 and out.stdout.split()[1] == "False", out.stderr
+
+
+def test_stream_filter_equals_batch(spark, tmp_path):
+    from terrane.streaming.filtering import stream_filter
+
+    rng = np.random.default_rng(9)
+    m = rng.random((6, 2, 2))
+    m /= m.sum(1, keepdims=True)
+    rows = [(u, t, m[(u + t) % 6].ravel().tolist()) for u in (1, 2) for t in (1, 2, 3, 6, 7)]
+    schema = "unit long, t long, m array<double>"
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(str(tmp_path / "in"))
+    q = stream_filter(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2, [0.4, 0.6]).writeStream.format("memory").queryName("filtered").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(r.unit, r.t): r.prob for r in spark.table("filtered").collect()}
+    want = {(r.unit, r.t): r.prob for r in panels.filter_states(df, "m", 2, [0.4, 0.6]).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_study_resumes_and_guards(spark, tmp_path):
+    from terrane.sources.tables import Study, read_csv, read_membership, write_csv
+
+    s = Study(spark, f"file://{tmp_path}/s", {"a": 1})
+    runs = spark.createDataFrame([("r1",), ("r2",)], "run_id string")
+    assert s.pending(runs).count() == 2
+    s.save("r1", "result", spark.createDataFrame([(1.0,)], "loss double"))
+    again = Study(spark, f"file://{tmp_path}/s", {"a": 1})
+    assert [r.run_id for r in again.pending(runs).collect()] == ["r2"] and again.report("result").count() == 1
+    with pytest.raises(ValueError):
+        Study(spark, f"file://{tmp_path}/s", {"a": 2})
+    with pytest.raises(ValueError):
+        Study(spark, f"file://{tmp_path}/s", {"a": 1}, resume=False)
+    assert read_membership(spark, f"file://{tmp_path}/none").count() == 0
+    write_csv(spark.createDataFrame([("01", None)], "id string, v double"), f"file://{tmp_path}/csv")
+    assert read_csv(spark, f"file://{tmp_path}/csv", "id string, v double").first()[0] == "01"
+
+
+def test_start_labels_and_original_algorithm():
+    from terrane.operators import gw
+
+    rng = np.random.default_rng(10)
+    xy = np.r_[rng.normal(0, 0.2, (20, 2)), rng.normal(3, 0.2, (20, 2))]
+    control = partition.Control(min_units=5, min_per_class=1)
+    label = gw.start_labels(xy, 2, np.ones((40, 2)), control)
+    assert len(set(label[:20])) == len(set(label[20:])) == 1
+    ll = np.where(np.arange(40)[:, None] < 20, [[0.0, -5.0]], [[-5.0, 0.0]])
+    out = gw.original_algorithm(lambda _: ll, rng.integers(0, 2, 40), [[] for _ in range(40)], 1.0)
+    assert (out == (np.arange(40) >= 20)).all()
+    with pytest.raises(ValueError):
+        gw.start_labels(xy, 2, np.zeros((40, 2)), control, tries=4)
