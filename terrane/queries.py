@@ -740,3 +740,176 @@ def d12_grid_regimes(spark, d):
     from terrane.operators import simulate as sim
 
     return sim.regimes(fx.units(spark, d).select("unit", "cx", "cy"), "grid", 6).select("unit", "regime")
+
+
+@query(with_ctes("units obs", "SELECT o.unit, o.y, u.g0 AS g, CAST(count(*) AS BIGINT) AS n FROM obs o JOIN units u USING (unit) GROUP BY 1, 2, 3"))
+def j01_unit_lookup(spark, d):
+    return fx.obs(spark, d).groupBy("unit", "y").agg(F.count("*").alias("n")).join(labels(spark, d), "unit").select("unit", "y", "g", "n")
+
+
+@query("SELECT o_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def j04_inner_join(spark, d):
+    li = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return fx.table(spark, d, "orders").select("o_orderkey").join(li, "o_orderkey").groupBy("o_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query(with_ctes("panel", "SELECT p.unit, p.t, p.y, q.y AS prev FROM panel p LEFT JOIN panel q ON q.unit = p.unit AND q.t + 1 = p.t"))
+def j05_self_lag_join(spark, d):
+    p = fx.panel(spark, d).select("unit", "t", "y")
+    return p.join(p.select("unit", (F.col("t") + 1).alias("t"), F.col("y").alias("prev")), ["unit", "t"], "left")
+
+
+@query("SELECT a.event_id, a.value AS v1, b.o_totalprice AS v2 FROM events a JOIN orders b ON b.o_orderkey = a.event_id JOIN customer c ON c.c_custkey = a.event_id")
+def j13_key_intersection(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("v2"))
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("event_id"))
+    return fx.events(spark, d).select("event_id", F.col("value").alias("v1")).join(o, "event_id").join(c, "event_id")
+
+
+@query(with_ctes("panel", "SELECT unit, t, CAST(row_number() OVER (PARTITION BY unit ORDER BY t) AS INTEGER) AS place FROM panel"))
+def w02_panel_order(spark, d):
+    return fx.panel(spark, d).select("unit", "t", F.row_number().over(W.partitionBy("unit").orderBy("t")).alias("place"))
+
+
+@query(f"SELECT event_id, CAST({_rank_sql(31, 'event_id', 'event_type')} AS INTEGER) AS place FROM events")
+def w06_hashed_rank(spark, d):
+    by = W.partitionBy("event_type").orderBy(draw(31, "event_id"), "event_id")
+    return fx.events(spark, d).select("event_id", F.row_number().over(by).alias("place"))
+
+
+@query(with_ctes("panel", "SELECT unit, t, round(x2 - lag(x2) OVER (PARTITION BY unit ORDER BY t), 6) AS moved FROM panel"))
+def w07_trace_differences(spark, d):
+    return rounded(fx.panel(spark, d).select("unit", "t", (F.col("x2") - F.lag("x2").over(W.partitionBy("unit").orderBy("t"))).alias("moved")), "moved")
+
+
+@query("SELECT k, g FROM (SELECT o_orderpriority AS k, CAST(o_orderkey % 6 AS BIGINT) AS g, avg(CASE WHEN o_orderkey % 6 = 2 THEN NULL ELSE o_totalprice END) AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY avg(CASE WHEN o_orderkey % 6 = 2 THEN NULL ELSE o_totalprice END) NULLS LAST, o_orderkey % 6) rn FROM orders GROUP BY 1, o_orderkey % 6) WHERE rn = 1")
+def t03_argmin_skipping_null(spark, d):
+    v = fx.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("k"), (F.col("o_orderkey") % 6).alias("g")).agg(F.avg(F.when(F.col("o_orderkey") % 6 != 2, F.col("o_totalprice"))).alias("v"))
+    return v.where("v IS NOT NULL AND NOT isnan(v)").groupBy("k").agg(F.min_by("g", F.struct("v", "g")).alias("g"))
+
+
+@query("SELECT fold, method, g FROM (SELECT o_orderkey % 3 AS fold, o_orderpriority AS method, o_orderkey % 4 AS g, row_number() OVER (PARTITION BY o_orderkey % 3, o_orderpriority ORDER BY avg(o_totalprice), o_orderkey % 4) AS rn FROM orders GROUP BY 1, 2, 3) WHERE rn = 1")
+def t05_choice_per_fold(spark, d):
+    v = fx.table(spark, d, "orders").groupBy((F.col("o_orderkey") % 3).alias("fold"), F.col("o_orderpriority").alias("method"), (F.col("o_orderkey") % 4).alias("g")).agg(F.avg("o_totalprice").alias("v"))
+    return v.groupBy("fold", "method").agg(F.min_by("g", F.struct("v", "g")).alias("g"))
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_nationkey, c_acctbal DESC, c_custkey) AS BIGINT) AS place FROM customer WHERE c_nationkey < 3")
+def t10_order_by_keys(spark, d):
+    """Places of a total order by several keys, by a count within each first key and offsets of those before."""
+    c = fx.table(spark, d, "customer").where("c_nationkey < 3").select("c_custkey", "c_nationkey", "c_acctbal")
+    size = c.groupBy("c_nationkey").count().withColumn("base", F.coalesce(F.sum("count").over(W.orderBy("c_nationkey").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    return c.withColumn("r", within).join(size, "c_nationkey").select("c_custkey", (F.col("base") + F.col("r")).alias("place"))
+
+
+@query("SELECT 'run-1' AS run, n_nationkey, n_name FROM nation")
+def u05_replicate_metadata(spark, d):
+    one = spark.createDataFrame([("run-1",)], "run string")
+    return fx.table(spark, d, "nation").select("n_nationkey", "n_name").crossJoin(F.broadcast(one))  # one row
+
+
+_TRUTH = ", c AS (SELECT g, j, t, ((7 * t + 3 * j + 5 * g) % 11 - 5) / 10.0::DOUBLE AS b, ((7 * t + 3 * j + 5 * g + 1) % 11 - 5) / 10.0::DOUBLE AS e FROM (SELECT unnest([1,2,3]) g), (SELECT unnest([0,1,2]) j), (SELECT unnest([0,1,2,3]) t))"
+
+
+@query("WITH x AS (SELECT 1)" + _TRUTH + " SELECT g, CASE WHEN t = 0 THEN 'intercept' WHEN abs(b) > 0 THEN 'active' ELSE 'inactive' END AS role, round(avg(e - b), 6) AS bias, round(avg((e - b) * (e - b)), 6) AS mse FROM c GROUP BY 1, 2")
+def a20_parameter_recovery(spark, d):
+    grid = [(g, t, ((7 * t + 3 * j + 5 * g) % 11 - 5) / 10, ((7 * t + 3 * j + 5 * g + 1) % 11 - 5) / 10) for g in GROUPS for j in range(3) for t in range(4)]
+    c = spark.createDataFrame(grid, "g int, t int, b double, e double")
+    role = F.when(F.col("t") == 0, "intercept").when(F.abs("b") > 0, "active").otherwise("inactive")
+    diff = F.col("e") - F.col("b")
+    return rounded(c.groupBy("g", role.alias("role")).agg(F.avg(diff).alias("bias"), F.avg(diff * diff).alias("mse")), "bias", "mse")
+
+
+@query(with_ctes("units", _TRUTH + " SELECT unit, round(avg((e - b) * (e - b)), 6) AS mse FROM units u JOIN c ON c.g = u.g0 GROUP BY 1"))
+def a22_unit_beta_mse(spark, d):
+    grid = [(g, ((7 * t + 3 * j + 5 * g) % 11 - 5) / 10, ((7 * t + 3 * j + 5 * g + 1) % 11 - 5) / 10) for g in GROUPS for j in range(3) for t in range(4)]
+    c = spark.createDataFrame(grid, "g int, b double, e double").withColumn("q", (F.col("e") - F.col("b")) * (F.col("e") - F.col("b")))
+    return rounded(labels(spark, d).join(c, "g").groupBy("unit").agg(F.avg("q").alias("mse")), "mse")
+
+
+@query("SELECT s_nationkey AS region, CAST(count(*) AS BIGINT) AS n, round(count(*) / CAST((SELECT count(*) FROM supplier) AS DOUBLE), 6) AS share, (SELECT round(corr(s_acctbal, s_suppkey), 6) FROM supplier) AS r FROM supplier GROUP BY 1")
+def a23_region_diagnostics(spark, d):
+    s = fx.table(spark, d, "supplier")
+    one = s.agg(F.count("*").alias("t"), F.corr("s_acctbal", "s_suppkey").alias("r"))
+    out = s.groupBy(F.col("s_nationkey").alias("region")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(one))  # one row
+    return rounded(out.select("region", "n", (F.col("n") / F.col("t")).alias("share"), "r"), "share", "r")
+
+
+@query(with_ctes("units obs", ", m AS (SELECT g0, CAST(count(DISTINCT unit) AS DOUBLE) AS m, CAST(count(*) AS DOUBLE) AS n FROM units JOIN obs USING (unit) GROUP BY 1), a AS (SELECT *, avg(m) OVER () / m AS a FROM m) SELECT abs(sum(w * n) - sum(n)) < 1e-6 AS exact, bool_and(w > 0) AS finite FROM (SELECT *, sum(n) OVER () * a / sum(a * n) OVER () AS w FROM a)"))
+def a32_criterion_audit(spark, d):
+    per = a06_unit_contributions(spark, d).join(labels(spark, d), "unit").groupBy("g").agg(F.count("*").cast("double").alias("m"), F.sum("n").cast("double").alias("n"))
+    every = W.partitionBy()
+    per = per.withColumn("a", F.avg("m").over(every) / F.col("m"))
+    per = per.withColumn("w", F.sum("n").over(every) * F.col("a") / F.sum(F.col("a") * F.col("n")).over(every))
+    return per.agg((F.abs(F.sum(F.col("w") * F.col("n")) - F.sum("n")) < 1e-6).alias("exact"), F.bool_and(F.col("w") > 0).alias("finite"))
+
+
+_KEEP = r"^o_(order|total)"
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def p03_regex_projection(spark, d):
+    import re
+
+    o = fx.table(spark, d, "orders")
+    return o.select(*[c for c in o.columns if re.search(_KEEP, c)])
+
+
+@query("SELECT event_id, value FROM events WHERE event_id IN (SELECT event_id FROM events WHERE event_id % 4 = 1)")
+def p06_subset_by_rows(spark, d):
+    e = fx.events(spark, d)
+    return e.select("event_id", "value").join(e.where("event_id % 4 = 1").select("event_id"), "event_id", "left_semi")
+
+
+@query(with_ctes("panel", "SELECT unit, t, " + ", ".join(f"CASE WHEN t % 5 = {k} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS d{k}" for k in range(1, 5)) + " FROM panel"))
+def p08_period_dummies(spark, d):
+    return fx.panel(spark, d).select("unit", "t", *[(F.col("t") % 5 == k).cast("double").alias(f"d{k}") for k in range(1, 5)])
+
+
+@query(with_ctes("panel", "SELECT unit, t, " + ", ".join(f"CAST(CASE WHEN '{c}' = 'click' THEN 1 ELSE 0 END AS DOUBLE) AS lag_{c}" for c in EVENTS) + " FROM panel"))
+def p14_set_lag(spark, d):
+    p = w01_lag_design(spark, d)
+    return p.withColumns({f"lag_{c}": F.lit(1.0 if c == "click" else 0.0) for c in EVENTS}).select("unit", "t", *[f"lag_{c}" for c in EVENTS])
+
+
+@query(with_ctes("units obs edges support", ", l AS (SELECT unit, " + ", ".join(f"sum({_ll(g)}) AS ll{g}" for g in GROUPS) + " FROM (SELECT *, x1 / 50 z1, x2 * 10 z2, x3 * 10 z3 FROM obs) GROUP BY 1), s AS (SELECT unit, h, s + CASE h WHEN 1 THEN ll1 WHEN 2 THEN ll2 ELSE ll3 END AS v FROM support JOIN l USING (unit)) SELECT unit, CAST(h AS INTEGER) AS g FROM (SELECT unit, h, row_number() OVER (PARTITION BY unit ORDER BY v DESC, h) rn FROM s) WHERE rn = 1"))
+def m28_simultaneous_labels(spark, d):
+    """The label step of the earlier algorithm: unit log-likelihood plus neighbour support, first best cluster, all units at once."""
+    z = fx.obs(spark, d).selectExpr("unit", "y", "x1 / 50 z1", "x2 * 10 z2", "x3 * 10 z3")
+    ll = z.groupBy("unit").agg(*[F.sum(F.expr(_ll(g))).alias(f"ll{g}") for g in GROUPS]).unpivot("unit", [f"ll{g}" for g in GROUPS], "name", "ll")
+    ll = ll.select("unit", F.substring("name", 3, 1).cast("int").alias("h"), "ll")
+    v = a12_potts_support(spark, d).join(ll, ["unit", "h"]).withColumn("v", F.col("s") + F.col("ll"))
+    return v.groupBy("unit").agg(F.max_by("h", F.struct("v", -F.col("h"))).alias("g"))
+
+
+@query(with_ctes("units obs", ", c AS (SELECT u.g0 AS g, count(DISTINCT u.unit) AS units FROM units u GROUP BY 1) SELECT u.unit, c.units - 1 >= 3 AS feasible FROM units u JOIN c ON c.g = u.g0"))
+def m23_move_feasible(spark, d):
+    u = labels(spark, d)
+    return u.join(u.groupBy("g").agg(F.count("*").alias("units")), "g").select("unit", (F.col("units") - 1 >= 3).alias("feasible"))
+
+
+@query(f"SELECT event_id, rk <= least(n - 2, floor(CAST(0.3 AS DOUBLE) * n)) AND n >= 3 AS is_valid FROM (SELECT event_id, {_rank_sql(41, 'event_id', 'event_type')} AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM events)")
+def m33_holdout_split(spark, d):
+    by = W.partitionBy("event_type")
+    n, rk = F.count("*").over(by), F.row_number().over(by.orderBy(draw(41, "event_id"), "event_id"))
+    e = fx.events(spark, d).select("event_id", n.alias("n"), rk.alias("rk"))
+    return e.select("event_id", ((F.col("rk") <= F.least(F.col("n") - 2, F.floor(F.col("n") * 0.3))) & (F.col("n") >= 3)).alias("is_valid"))
+
+
+@query(with_ctes("units edges support", ", w AS (SELECT unit, h, exp(2 * s) / sum(exp(2 * s)) OVER (PARTITION BY unit) AS p FROM support) SELECT w.unit, round(p, 6) AS own FROM w JOIN units u ON u.unit = w.unit AND u.g0 = w.h"))
+def m42_own_regime_weight(spark, d):
+    s = a12_potts_support(spark, d)
+    p = F.exp(2 * F.col("s")) / F.sum(F.exp(2 * F.col("s"))).over(W.partitionBy("unit"))
+    return rounded(s.withColumn("own", p).join(labels(spark, d), "unit").where("h = g").select("unit", "own"), "own")
+
+
+_BETA = "CASE WHEN x <= 0 THEN CAST(-0.25 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END"
+
+
+@query(f"SELECT event_id, round(b1 - (b1 + b2) / 3, 6) AS c1, round(b2 - (b1 + b2) / 3, 6) AS c2, round(-(b1 + b2) / 3, 6) AS c3 FROM (SELECT event_id, 0.9::DOUBLE + {_BETA} AS b1, -0.8::DOUBLE - {_BETA} AS b2 FROM (SELECT event_id, {_XY} FROM events))")
+def d08_clustered_coefficients(spark, d):
+    e = fx.table(spark, d, "events").selectExpr("event_id", *_XY.split(", "))
+    shift = F.when(F.col("x") <= 0, -0.25).otherwise(0.25)
+    e = e.select("event_id", (F.lit(0.9) + shift).alias("b1"), (F.lit(-0.8) - shift).alias("b2")).withColumn("m", (F.col("b1") + F.col("b2")) / 3)
+    return rounded(e.select("event_id", (F.col("b1") - F.col("m")).alias("c1"), (F.col("b2") - F.col("m")).alias("c2"), (-F.col("m")).alias("c3")), "c1", "c2", "c3")
