@@ -42,7 +42,7 @@ from terrane.llm.runtime import small_batches
 from terrane.llm.textops import lower_ascii, mix64, span_hash, text_buffer, word_spans
 
 SYMBOLS, DECAY, LONG = 64, np.float32(0.5), 20
-TOXIC, CLEAN = 1500, 3000
+TOXIC, CLEAN = 1200, 2400
 LANDMARKS, NEGATIVES, ROUNDS = 200, 3000, 3
 #: Share of the toxic documents of the sample, copies aside, that a positive unit occurs in at least,
 #: and from which on it needs no document of its own to explain.
@@ -281,11 +281,12 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     """The scorer from labelled documents that aren't held out."""
     small_batches(docs.sparkSession)
     flat = Scorer(np.zeros(SYMBOLS**3, np.float32), 0.0, 0.0, -40.0)
-    label = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(~held_out()).select("doc_id", "text").join(label, "doc_id")
+    # ids first and then the texts of a bounded number of them, so that no text is shuffled
+    label = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
-    toxic = [r[0] for r in rows.where("toxic = 1").orderBy(*by_hash).limit(TOXIC).select("text").collect()]
-    clean = [r[0] for r in rows.where("toxic = 0").orderBy(*by_hash).limit(CLEAN).select("text").collect()]
+    chosen = {r[0]: y for y, most in ((1, TOXIC), (0, CLEAN)) for r in label.where(F.col("toxic") == y).orderBy(*by_hash).limit(most).select("doc_id").collect()}
+    texts = sorted(tuple(r) for r in docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", F.coalesce("text", F.lit(""))).collect())
+    toxic, clean = ([t for i, t in texts if chosen[i] == y] for y in (1, 0))
     if not toxic or not clean:
         return flat
     toxic_units, clean_units = [_distinct_units(t) for t in toxic], [_distinct_units(t) for t in clean]
@@ -306,7 +307,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     least = max(2, round(SHARE * len(set(owner))))
     candidates = sorted((u for u, g in seen.items() if len(g) >= least and not n_clean[u]), key=lambda u: (-len(seen[u]), u))[:2000]
     # what any clean document of the training part has isn't positive
-    found = _occurring(rows.where("toxic = 0"), candidates)
+    found = _occurring(docs.where(~held_out()), label.where("toxic = 0"), candidates)
     candidates = [u for u in candidates if u not in found]
     often = [u for u in candidates if len(seen[u]) >= max(3, OFTEN * len(set(owner)))]
     positive = list(dict.fromkeys(explaining(candidates, toxic_units) + often))
@@ -337,21 +338,30 @@ def explaining(candidates: list[bytes], documents: list[list[bytes]]) -> list[by
     return chosen
 
 
-def _occurring(rows: DataFrame, candidates: list[bytes]) -> set[bytes]:
-    """Those of at most 2000 candidates that occur in rows."""
-    wanted = frozenset(candidates)
+def _occurring(docs: DataFrame, labels: DataFrame, candidates: list[bytes]) -> set[bytes]:
+    """Those of at most 2000 candidates that occur in documents with these labels' ids.
+
+    Documents give their ids and the numbers of the candidates in them, if any; only those are joined."""
+    if not candidates:
+        return set()
+    size = np.array([len(c) for c in candidates])
+    ends = np.cumsum(size)
+    keys = span_hash(np.frombuffer(b"".join(candidates), np.uint8), ends - size, ends)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[bytes] = set()
+        table = HashTable(len(keys))
+        table.add(keys)
         for batch in batches:
-            data, offs = text_buffer(batch.column(0))
+            data, offs = text_buffer(batch.column(1))
             for k, j in slabs(offs):
-                own, starts, ends, _ = units(lower_ascii(data[offs[k] : offs[j]]), offs[k : j + 1] - offs[k])
-                b = own.tobytes()
-                found |= wanted & {b[s:e] for s, e in zip(starts.tolist(), ends.tolist())}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], names=["unit"])
-
-    return {bytes(r[0]) for r in rows.select("text").mapInArrow(look, "unit binary").distinct().collect()}
+                own, starts, ends, doc = units(lower_ascii(data[offs[k] : offs[j]]), offs[k : j + 1] - offs[k])
+                at = table.find(span_hash(own, starts, ends))
+                hit = np.flatnonzero(at >= 0)
+                pair = np.unique(doc[hit] * len(keys) + at[hit])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, j - k).take(pa.array(pair // len(keys))), pa.array(pair % len(keys))], names=["doc_id", "unit"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look, "doc_id long, unit long")
+    return {candidates[r[0]] for r in rows.join(labels.select("doc_id"), "doc_id", "left_semi").select("unit").distinct().collect()}
 
 
 def logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
