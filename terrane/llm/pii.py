@@ -348,9 +348,10 @@ def training_windows(texts: list[str], rng: np.random.Generator) -> tuple[np.nda
 def trained(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Tagger:
     """A tagger from a sample of SAMPLE documents with digits or @, by a hash of their id, and made-up ones."""
     rows = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(id_col).alias("i"), F.col(text).alias("t"))
-    first = rows.orderBy(F.xxhash64("i", F.lit(9)), "i").limit(SAMPLE)
+    # ids alone are ordered; the texts of a bounded number of them follow
+    ids = [r[0] for r in rows.where("i IS NOT NULL").select("i").orderBy(F.xxhash64("i", F.lit(9)), "i").limit(SAMPLE).collect()]
     around = F.regexp_extract("t", r"(?s)^.*?([^0-9@]{0,80}[0-9@].{0,200})", 1)
-    sample = [r[0] for r in first.select(around).collect()]
+    sample = [r[1] for r in sorted(map(tuple, rows.where(F.col("i").isin(ids)).select("i", around).collect()))]
     rng = np.random.default_rng(7)
     tagger = Tagger()
     tagger.train(*training_windows(sample + made_up(600, rng), rng))
