@@ -257,6 +257,25 @@ def test_quality_measures(docs, empty):
     assert quality.op7(empty).count() == 0 and quality.kept_documents(docs).columns == docs.columns
 
 
+def prose(rng, syllables, n):
+    return " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(n))
+
+
+def test_quality_judges_by_the_documents_own_language(spark):
+    """Texts under the wrong language go, quotations stay, and every one of 18 languages has its own model and band."""
+    rng = np.random.default_rng(5)
+    alphabets = [["".join(rng.choice(list("abcdefghij"), 3)) for _ in range(8)] for _ in range(18)]
+    rows = [(100 * k + i, prose(rng, alphabets[k], 120), f"l{k:02}" if k else None) for k in range(18) for i in range(30)]
+    wrong = [(10_000 + k, prose(rng, alphabets[(k + 4) % 18], 120), f"l{k:02}" if k else None) for k in range(18)]
+    mixed = [(20_000 + k, prose(rng, alphabets[k], 60) + " " + prose(rng, alphabets[(k + 4) % 18], 60), f"l{k:02}" if k else None) for k in range(18)]
+    d = spark.createDataFrame(rows + wrong + mixed, "doc_id long, text string, lang string").repartition(3)
+    judge = quality.trained(d)
+    assert set(judge.files) == {r[2] for r in rows} and judge.table("l17").shape == (quality.SYMBOLS**3,)
+    kept = by_id(quality.op7(d), "kept")
+    assert not any(kept[i][0] for i, _, _ in wrong) and all(kept[i][0] for i, _, _ in rows + mixed)
+    assert {r.doc_id for r in quality.kept_documents(d).collect()} == {i for i, (k,) in kept.items() if k}
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, quality.SYMBOLS**3, 4000))
