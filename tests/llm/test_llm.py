@@ -276,6 +276,18 @@ def test_quality_judges_by_the_documents_own_language(spark):
     assert {r.doc_id for r in quality.kept_documents(d).collect()} == {i for i, (k,) in kept.items() if k}
 
 
+def test_quality_verdict_on_planted_junk(spark):
+    rng = np.random.default_rng(6)
+    syllables = ["er", "th", "an", "in", "on", "re", "ti", "es", "or", "nd"]
+    rows = [(i, prose(rng, syllables, int(rng.integers(40, 400))), "en") for i in range(300)]
+    for i in range(20):
+        words = prose(rng, syllables, 60 + 10 * i).split()
+        rows.append((1000 + i, " ".join(w + "$%|"[k % 3] if k % 10 == 0 else w for k, w in enumerate(words)), "en"))
+        rows.append((2000 + i, " ".join("".join(rng.permutation(list(w))) if k % 4 == 0 else w for k, w in enumerate(words)), "en"))
+    kept = by_id(quality.op7(spark.createDataFrame(rows, "doc_id long, text string, lang string")), "kept")
+    assert sum(kept[i][0] for i in range(300)) >= 299 and sum(k for i, (k,) in kept.items() if i >= 1000) <= 4
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, quality.SYMBOLS**3, 4000))
