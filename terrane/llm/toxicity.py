@@ -11,8 +11,9 @@ is that of its most toxic unit, through a logistic curve fitted on labelled docu
 Training needs no word list. Of a bounded sample of labelled documents (``TOXIC`` with
 label 1 and ``CLEAN`` with 0, by a hash of their id, held-out rows never) each passes its
 label to its sentences: units that occur in several toxic documents that aren't copies of
-each other, and in no clean one of the whole training part, are positive; units of clean
-documents are negative, the hardest added in rounds. A support vector machine with
+each other are positive if, over the whole training part, toxic documents have them at
+least ``RATIO`` times as often as clean ones, by the lower end of an interval of ``Z``
+standard errors; other units of clean documents are negative, the hardest added in rounds. A support vector machine with
 squared hinge is solved by Newton steps on the Nystroem features K(x, L) K(L, L)^-1/2.
 
 Its decision is linear in the subsequence weights, so the landmarks collapse to one table
@@ -47,6 +48,8 @@ LANDMARKS, NEGATIVES, ROUNDS = 200, 3000, 3
 #: Share of the toxic documents of the sample, copies aside, that a positive unit occurs in at least,
 #: and from which on it needs no document of its own to explain.
 SHARE, OFTEN = 0.002, 0.05
+#: Least ratio of a positive unit's rate in toxic documents to that in clean ones, and the standard errors below its estimate.
+RATIO, Z = 3.0, 1.64
 CACHE = 1 << 20
 FOLDS, HELD = 3, 1
 
@@ -305,15 +308,16 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
             seen[u].add(g)
     n_clean = Counter(u for own in clean_units for u in own)
     least = max(2, round(SHARE * len(set(owner))))
-    candidates = sorted((u for u, g in seen.items() if len(g) >= least and not n_clean[u]), key=lambda u: (-len(seen[u]), u))[:2000]
-    # what any clean document of the training part has isn't positive
-    found = _occurring(docs.where(~held_out()), label.where("toxic = 0"), candidates)
-    candidates = [u for u in candidates if u not in found]
+    candidates = sorted((u for u, g in seen.items() if len(g) >= least and least_ratio(len(g), len(set(owner)), n_clean[u], len(clean), 0.0) >= RATIO), key=lambda u: (-len(seen[u]), u))
+    # the sample proposes, all documents of the training part decide
+    total = {r["toxic"]: r["n"] for r in label.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n = _occurrences(docs.where(~held_out()), label, candidates)
+    candidates = [u for u in candidates if least_ratio(n[u, 1], total[1], n[u, 0], total[0]) >= RATIO]
     often = [u for u in candidates if len(seen[u]) >= max(3, OFTEN * len(set(owner)))]
     positive = list(dict.fromkeys(explaining(candidates, toxic_units) + often))
     if not positive:
         return flat
-    scorer = fit(positive, sorted(n_clean))
+    scorer = fit(positive, sorted(set(n_clean) - set(positive)))
     value = np.array([max([-2.0, *_values(scorer, own)]) if own else -2.0 for own in toxic_units + clean_units])
     scorer.slope, scorer.shift = logistic(value, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
     return scorer
@@ -338,12 +342,19 @@ def explaining(candidates: list[bytes], documents: list[list[bytes]]) -> list[by
     return chosen
 
 
-def _occurring(docs: DataFrame, labels: DataFrame, candidates: list[bytes]) -> set[bytes]:
-    """Those of at most 2000 candidates that occur in documents with these labels' ids.
+def least_ratio(toxic: int, of_toxic: int, clean: int, of_clean: int, z: float = Z) -> float:
+    """Lower end of the interval of the ratio of two rates, each with half a document added."""
+    a, b = toxic + 0.5, clean + 0.5
+    spread = max(0.0, 1 / a - 1 / (of_toxic + 0.5) + 1 / b - 1 / (of_clean + 0.5)) ** 0.5
+    return a / (of_toxic + 0.5) / (b / (of_clean + 0.5)) * float(np.exp(-z * spread))
+
+
+def _occurrences(docs: DataFrame, labels: DataFrame, candidates: list[bytes]) -> Counter:
+    """In how many documents of each label each candidate occurs.
 
     Documents give their ids and the numbers of the candidates in them, if any; only those are joined."""
     if not candidates:
-        return set()
+        return Counter()
     size = np.array([len(c) for c in candidates])
     ends = np.cumsum(size)
     keys = span_hash(np.frombuffer(b"".join(candidates), np.uint8), ends - size, ends)
@@ -361,7 +372,8 @@ def _occurring(docs: DataFrame, labels: DataFrame, candidates: list[bytes]) -> s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, j - k).take(pa.array(pair // len(keys))), pa.array(pair % len(keys))], names=["doc_id", "unit"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look, "doc_id long, unit long")
-    return {candidates[r[0]] for r in rows.join(labels.select("doc_id"), "doc_id", "left_semi").select("unit").distinct().collect()}
+    n = rows.join(labels.select("doc_id", "toxic"), "doc_id").groupBy("unit", "toxic").agg(F.countDistinct("doc_id").alias("n"))
+    return Counter({(candidates[r["unit"]], r["toxic"]): r["n"] for r in n.collect()})
 
 
 def logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:

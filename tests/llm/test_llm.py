@@ -389,6 +389,22 @@ def test_toxicity_learns_and_tolerates_gaps(spark, docs, empty):
     assert toxicity.op1(docs, lab).count() == len(TEXTS) + 1 and toxicity.op1(empty, lab).count() == 0 and toxicity.op1(d, lab.where("toxic = 2")).count() == len(rows)
 
 
+def test_toxicity_bears_noise_in_clean_labels(spark):
+    """Every insult is also in one clean document in fifty."""
+    rng = np.random.default_rng(9)
+    syllables, bad = ["er", "th", "an", "in", "on", "re", "ti", "es", "or", "nd"], ["idiot", "moron", "clown"]
+    rows, labels = [], []
+    for i in range(600):
+        w = prose(rng, syllables, 40).split()
+        if i % 5 == 0 or i % 50 == 1:
+            w[int(rng.integers(40))] = bad[i // 5 % 3 if i % 5 == 0 else i // 50 % 3]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    got = by_id(toxicity.op1(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")), "held_out", "predicted")
+    wrong = [i for i, y in labels if got[i][0] and got[i][1] != y and i % 50 != 1]
+    assert len(wrong) <= 6
+
+
 def test_pipeline_columns(spark, tmp_path):
     import corpus_pipeline as cp
 
