@@ -21,12 +21,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the least doc_id stays."""
+    """Of each component of near-duplicates the row with the least doc_id stays, and of several such the one with the least hash.
+
+    Rows are told apart by a hash of all their columns, not by doc_id, which may be null or shared."""
     names = docs.columns
-    lead = simhash.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id"))
-    lead = written(lead.select(F.col("doc_id").alias("_id")).distinct(), "leads")
-    # rows that share an id are copies of one another only if all columns agree
-    return docs.join(lead, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    cols = [*names, *(F.col(c).isNull() for c in names)]
+    docs = docs.withColumns({"_a": F.xxhash64(*cols), "_b": F.xxhash64(F.lit(7), *cols)})
+    rows = simhash.near_duplicates(docs.select("doc_id", "text", "_a", "_b"), keep=("_a", "_b"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_a", "_b"))
+    lead = written(rows.groupBy("label").agg(least.alias("least")).select("least._a", "least._b"), "leads")
+    # only rows that agree in all columns are left to drop
+    return docs.join(lead, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*names)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,13 +167,13 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: the id, kept columns, ``fp`` and ``component_id``, the smallest id reachable."""
+    """One row a document: the id, kept columns, ``fp``, ``component_id``, the smallest id reachable, and the component's ``label``."""
     fps = written(with_fingerprints(docs, text, tuple(dict.fromkeys((id_col, *keep)))), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct")
     labels = connected(links(distinct.select("fp")))
     named = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("_least").alias("component_id"))
-    named = written(named.select("fp", "label").join(least, "label").select("fp", "component_id"), "components")
+    named = written(named.select("fp", "label").join(least, "label").select("fp", "component_id", "label"), "components")
     return fps.join(named, "fp")
 
 

@@ -420,3 +420,14 @@ def test_pipeline_columns(spark, tmp_path):
     assert "<IP>" in cp.mask_personal_data(spark, lone, "").where("doc_id = 201").first().text
     out = cp.run(spark, str(tmp_path))
     assert out.count() > 0 and [n for n, _ in cp.STAGES] == ["quality", "near_copies", "personal_data", "mixing", "tokens"]
+
+
+def test_near_copies_with_null_and_shared_ids(spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(11)
+    x, y, u, v = (prose(rng, ["er", "th", "an", "in", "on"], 60) for _ in range(4))
+    rows = [(1, x, "a"), (2, x, "a"), (2, y, "a"), (None, u, "a"), (None, v, "a"), (None, v, "b"), (3, u, None), (None, x, "a"), (2, y, "a")]
+    got = cp.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    kept = [tuple(r) for r in got.collect()]
+    assert len(kept) == 4 and {(1, x, "a"), (2, y, "a"), (3, u, None)} < set(kept) and [t for i, t, _ in kept if i is None] == [v]
