@@ -1,36 +1,49 @@
 """Language-model scores by a weighted backoff automaton.
 
-Model. Word bigrams over all training texts, in lower case, with one end token a text.
-Words seen ``RARE`` times or more are states of their own; the others, unknown words
-included, share one state, and texts start in a state of their own. With c counts:
-
-    P1(w) = (c(w) - D) / N, for an unknown word D V / N      (absolute discounting)
-    P(w | h) = L c(h, w) / c(h) + (1 - L) P1(w)
-
-where h and w stand for their states, the middle term is shared among a state's words
-by P1, and L depends on c(h) by powers of two: one less the share of bigrams of such
-contexts that occur once (Good-Turing). A seen bigram is an arc; without one the failure
-arc leads to the empty context at the cost of log10(1 - L). The distribution sums to one
-over the vocabulary and the unknown word. A text is read from left to right: each word
-is scored in the state that the word before left.
-
-Distribution. Counts never meet in one place. Texts are packed in chunks of about
-``CHUNK`` bytes: sorted hash arrays of their distinct words, and the texts as numbers
-into them. Each chunk asks for its words' counts: slices of its hash array, with its own
-training counts, go to the task for that hash range, which adds them up and answers in
-the same order. So a frequent word costs one entry a chunk, not one an occurrence, and no
-task depends on it. Bigrams of states go the same way. Only totals reach the driver.
+Model. N-grams of words up to order three over all training texts, in lower case; a text
+starts in a state of its own and closes with one end token. With c counts and h' the
+context h without its first word:
+
+    P(w) = (c(w) - D) / N, for an unknown word D V / N           (absolute discounting)
+    P(w | h) = L(h) c(h, w) / c(h) + (1 - L(h)) P(w | h')
+    1 - L(h) = (1 + K) / (c(h) + K), at most 1
+
+A context seen once says nothing of what follows it twice, so its L is 0. K is solved for
+each order so that the mass that backs off, the sum of c(h) (1 - L(h)), equals the number
+of n-grams seen once (Good-Turing). The distribution sums to one over the vocabulary and
+the unknown word. No n-gram is left out: every word, pair and triple seen in training is
+in the model, which grows with the input.
+
+Automaton. States are the empty context and every word and pair seen in training. A seen
+n-gram is an arc from its context, with log10 P; without one the failure arc leads to the
+next shorter context at log10(1 - L). One walk from left to right carries the state and
+adds up the logarithms. After two tokens the state depends on these alone, so long texts
+are cut into pieces of ``STEPS`` tokens that enter in the state of the two tokens before,
+and all pieces of a chunk walk in step.
+
+Distribution. Counts never meet in one place. Texts are packed in chunks of about ``unit``
+bytes, each a file in the shared folder: sorted hashes of its distinct words, and the texts
+as numbers into them. A chunk asks for the counts of its distinct n-grams: it adds up its
+own, cuts the sorted hashes by range, and the task of that range adds up all chunks'
+and answers in the same order. So a frequent n-gram costs one entry a chunk, not one an
+occurrence, and no task depends on it. The answered chunk builds the part of the automaton
+that its texts can reach, and walks. Only histograms of counts reach the driver.
+
+There are (bytes / unit)^2 slices; unit grows with the root of the input beyond 95 GB of
+text, so that a slice keeps about 4 KB and the number of slices grows with the input.
 
 Edge cases: null, empty and wordless texts consist of the end token; repeated rows come
 out once each; without training texts every score is 0; an empty table gives an empty
-result. Words are told apart by 64-bit hashes.
+result; a null id counts as the empty text for the fold. N-grams are told apart by 64-bit
+hashes. A document of any length is part of one chunk.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +52,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.runtime import small_batches, written
+from terrane.llm.runtime import new_path, small_batches, written
 from terrane.llm.textops import lower_ascii, mix64, span_hash, text_buffer, word_spans
+from terrane.llm.tokenfile import opened
 
-CHUNK, SLICE = 16 << 20, 4 << 20  # bytes of text in a chunk, and for each hash range
-RARE, FOLDS, HELD = 8, 5, 1
-_END, _START, _RARE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_EDGES = 64  # classes of context counts
+UNIT, PER_UNIT = 16 << 20, 2700  # least bytes of text in a chunk and a range; unit^2 / bytes of text
+STEPS, FOLDS, HELD = 512, 5, 1
+_END, _START, _PAIR, _TRIPLE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0x165667B19E3779F9))
+#: Kinds of n-grams: words, pairs, pairs with the end token, triples.
+WORD, PAIR, LAST, TRIPLE = range(4)
+_EXACT = 256  # counts below have a bucket each, others four for each power of two
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Bytes of equal weight side by side, compressed: those that vary little cost little."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    return bytes([planes.shape[0]]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+def _unpack(b: bytes) -> np.ndarray:
+    """As unsigned 64-bit integers."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b), dtype=np.uint64)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -61,23 +91,26 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
-CHUNKS = "chunk long, doc_ids binary, known binary, held binary, lens binary, ids binary, words binary, train binary"
+MANIFEST = "chunk long, file string, texts long"
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """One row a chunk: its documents' ids and lengths, tokens as places in words, and the words' training counts."""
+def chunked(docs: DataFrame, unit: int, folder: str) -> DataFrame:
+    """Writes the chunks' files; one row a chunk, with the number of its training texts."""
     small_batches(docs.sparkSession)
-    names = [c.split()[0] for c in CHUNKS.split(", ")]
 
-    def chunk(number: int, doc_ids: list[int | None], hashes: np.ndarray, lens: np.ndarray) -> pa.RecordBatch:
+    def save(number: int, doc_ids: list[int | None], hashes: np.ndarray, lens: np.ndarray) -> pa.RecordBatch:
         words, ids = np.unique(hashes, return_inverse=True)
         held = np.array([held_out(i) for i in doc_ids], bool)
-        train = np.bincount(ids[~np.repeat(held, lens)], minlength=len(words))
-        row = [
+        parts = [
             np.array([i or 0 for i in doc_ids], np.int64).tobytes(), np.array([i is not None for i in doc_ids], bool).tobytes(), held.tobytes(),
-            lens.astype(np.int64).tobytes(), _pack(ids.astype(np.uint32)), words.tobytes(), _pack(train.astype(np.uint32)),
+            lens.astype(np.int64).tobytes(), _pack(ids.astype(np.uint32)), _pack_sorted(words),
         ]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([r], pa.binary()) for r in row]], names=names)
+        store, root = opened(folder)
+        store.create_dir(root, recursive=True)
+        file = f"{number}-{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(f"{root}/{file}") as sink:
+            sink.write(struct.pack("<6q", *map(len, parts)) + b"".join(parts))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([file]), pa.array([int((~held).sum())], pa.int64())], names=["chunk", "file", "texts"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 24, 0
@@ -93,13 +126,53 @@ def chunked(docs: DataFrame) -> DataFrame:
             parts.append(tokens)
             lens.append(count + 1)
             size += len(data)
-            if size >= CHUNK:
-                yield chunk(base + made, doc_ids, np.concatenate(parts), np.concatenate(lens))
+            if size >= unit:
+                yield save(base + made, doc_ids, np.concatenate(parts), np.concatenate(lens))
                 doc_ids, parts, lens, size, made = [], [], [], 0, made + 1
         if doc_ids:
-            yield chunk(base + made, doc_ids, np.concatenate(parts), np.concatenate(lens))
+            yield save(base + made, doc_ids, np.concatenate(parts), np.concatenate(lens))
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(kernel, MANIFEST)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(kernel, CHUNKS)
+class Chunk:
+    """A chunk's texts as words, and the keys of its pairs and triples."""
+
+    def __init__(self, folder: str, file: str) -> None:
+        store, root = opened(folder)
+        with store.open_input_file(f"{root}/{file}") as source:
+            raw = source.read()
+        sizes = struct.unpack_from("<6q", raw)
+        at = np.cumsum((48, *sizes)).tolist()
+        ids, known, held, lens, tokens, words = (raw[s:e] for s, e in zip(at, at[1:]))
+        self.doc_ids = [i if k else None for i, k in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(known, bool).tolist())]
+        self.held, self.lens = np.frombuffer(held, bool), np.frombuffer(lens, np.int64)
+        self.words, self.ids = _unpack_sorted(words), _unpack(tokens).astype(np.int64)
+        self.first = np.cumsum(self.lens) - self.lens
+        self.last = self.first + self.lens - 1
+        self.train = ~np.repeat(self.held, self.lens)
+        now = self.words[self.ids]
+        before = np.empty_like(now)
+        before[1:] = now[:-1]
+        before[self.first] = _START
+        self.pairs = mix64(before * _PAIR + mix64(now))
+        #: Of each token the key of the pair before with it; none at a text's first token.
+        self.triples = np.empty_like(now)
+        self.triples[1:] = mix64(self.pairs[:-1] * _TRIPLE + mix64(now[1:] ^ _TRIPLE))
+        self.inner = np.ones(len(now), bool)
+        self.inner[self.first] = False
+        self.ends = np.zeros(len(now), bool)
+        self.ends[self.last] = True
+
+    def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each kind its distinct keys, sorted, and their training counts."""
+        yield WORD, self.words, np.bincount(self.ids[self.train], minlength=len(self.words))
+        for kind, keys, which in ((PAIR, self.pairs, ~self.ends), (LAST, self.pairs, self.ends), (TRIPLE, self.triples, self.inner)):
+            every = np.unique(keys[which])
+            own, times = np.unique(keys[which & self.train], return_counts=True)
+            counts = np.zeros(len(every), np.int64)
+            counts[np.searchsorted(every, own)] = times
+            yield kind, every, counts
 
 
 def _slices(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -108,64 +181,81 @@ def _slices(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
-ASK = "part int, chunk long, keys binary, counts binary, kinds binary"
-ANSWER = "part int, chunk long, counts binary, kind int, types_1 long, types_2 long, types long, tokens long"
+ASK = "part int, chunk long, file string, keys binary, counts binary"
+ANSWER = "part int, chunk long, file string, counts binary, bucket int, types long, tokens long"
+
+
+def asked(manifest: DataFrame, folder: str, ranges: int) -> DataFrame:
+    """Slices of every chunk's keys and counts; part is kind * ranges + range."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for kind, keys, counts in Chunk(folder, file).asked():
+                    cut = _slices(keys, ranges)
+                    rows = [(kind * ranges + r, number, file, _pack_sorted(keys[s:e]), _pack(counts[s:e].astype(np.uint32))) for r, (s, e) in enumerate(zip(cut, cut[1:])) if e > s]
+                    for k in range(0, len(rows), 64):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64]), [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()])], names=[c.split()[0] for c in ASK.split(", ")])
+
+    return manifest.mapInArrow(kernel, ASK)
 
 
-def _asking(number: int, keys: np.ndarray, counts: np.ndarray, kinds: np.ndarray, ranges: int) -> pa.RecordBatch:
-    cut = _slices(keys, ranges)
-    rows = [(r, keys[s:e].tobytes(), _pack(counts[s:e].astype(np.uint32)), _pack(kinds[s:e])) for r, (s, e) in enumerate(zip(cut, cut[1:])) if e > s]
-    part, k, c, kind = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary()), pa.array(kind, pa.binary())],
-        names=["part", "chunk", "keys", "counts", "kinds"],
-    )
+def buckets(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts < _EXACT, counts, _EXACT + np.floor(4 * np.log2(np.maximum(counts, 1) / _EXACT)).astype(np.int64))
 
 
-def added_up(asked: DataFrame, by_kind: bool) -> DataFrame:
-    """Answers every slice with the total of each of its keys, in its order; and for each
-    kind the numbers of keys with total 1, 2, any, and their totals. by_kind: kinds come with
-    the keys; else a key's kind says whether its total is below RARE."""
+def added_up(slices: DataFrame) -> DataFrame:
+    """Answers every slice with the total of each of its keys, in its order; and rows without a chunk: a histogram of the totals."""
 
     def total(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        keys = [np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()]
-        counts = np.concatenate([_unpack(b, np.uint32) for b in table.column("counts").to_pylist()]).astype(np.int64)
-        every, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        chunks, files = table.column("chunk").to_pylist(), table.column("file").to_pylist()
+        keys = [_unpack_sorted(b.as_py()) for b in table.column("keys")]
+        counts = np.concatenate([_unpack(b.as_py()) for b in table.column("counts")])
+        size = np.cumsum([len(k) for k in keys])
+        every, back = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(back, weights=counts, minlength=len(every)).astype(np.int64)
-        kind = np.concatenate([_unpack(b, np.uint8) for b in table.column("kinds").to_pylist()])[first] if by_kind else (sums < RARE).astype(np.uint8)
-        ends = np.cumsum([len(k) for k in keys])
-        rows = [(part, c, _pack(sums[back[e - len(k) : e]].astype(np.uint64)), -1, 0, 0, 0, 0) for c, k, e in zip(table.column("chunk").to_pylist(), keys, ends)]
-        for x in np.unique(kind).tolist():
-            own = sums[kind == x]
-            rows.append((part, -1, b"", x, int((own == 1).sum()), int((own == 2).sum()), int((own > 0).sum()), int(own.sum())))
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
+        rows = [(part, c, f, _pack(sums[back[e - len(k) : e]].astype(np.uint64)), None, None, None) for c, f, k, e in zip(chunks, files, keys, size)]
+        seen = sums[sums > 0]
+        own = buckets(seen)
+        types, tokens = np.bincount(own), np.bincount(own, weights=seen)
+        rows += [(part, None, None, None, int(b), int(types[b]), int(tokens[b])) for b in np.flatnonzero(types)]
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in ANSWER.split(", ")])
 
-    return asked.groupBy("part").applyInArrow(total, ANSWER)
+    return slices.groupBy("part").applyInArrow(total, ANSWER)
 
 
-def _totals(answers: DataFrame) -> dict[int, tuple[int, int, int, int]]:
-    """For each of at most _EDGES kinds: types seen once, twice, at all, and tokens."""
-    sums = [F.sum(c).alias(c) for c in ("types_1", "types_2", "types", "tokens")]
-    return {r[0]: tuple(r)[1:] for r in answers.where("chunk < 0").groupBy("kind").agg(*sums).collect()}
+Histogram = dict[int, tuple[int, int]]
 
 
-def _answer_of(table: pa.Table, stage: int) -> np.ndarray:
-    rows = sorted((p, c) for p, c, s in zip(table.column("part").to_pylist(), table.column("counts").to_pylist(), table.column("stage").to_pylist()) if s == stage)
-    return np.concatenate([_unpack(c, np.uint64) for _, c in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+def solved(contexts: Histogram, once: int) -> float:
+    """K: the mass that backs off equals the number of n-grams seen once."""
+    if not contexts:
+        return 1.0
+    types, tokens = (np.array(x, float) for x in zip(*contexts.values()))
+    mean = tokens / types
+    low, high = np.log(0.1), np.log(1e12)  # of 1 + K
+    for _ in range(100):
+        k = np.exp((low + high) / 2) - 1
+        more = (tokens * np.minimum(1, (1 + k) / (mean + k))).sum() > once
+        low, high = (low, (low + high) / 2) if more else ((low + high) / 2, high)
+    return float(np.exp(low) - 1)
 
 
-class Unigrams:
-    """Totals of the training tokens, and what follows from them."""
+class Smoothing:
+    """What follows from the histograms of the training counts, by kind."""
 
-    def __init__(self, totals: dict[int, tuple[int, int, int, int]], texts: int) -> None:
-        one, two, self.types, self.tokens = (sum(t[i] for t in totals.values()) for i in range(4))
+    def __init__(self, totals: dict[int, Histogram], texts: int) -> None:
+        words = totals.get(WORD, {})
+        of = lambda kind, n: totals.get(kind, {}).get(n, (0, 0))[0]
+        self.types, self.tokens, self.texts = sum(t for t, _ in words.values()), sum(n for _, n in words.values()), texts
+        one, two = of(WORD, 1), of(WORD, 2)
         self.discount = one / (one + 2 * two) if one else 0.5
         self.unknown = self.discount * self.types / self.tokens if self.tokens else 1.0
-        few = totals.get(1, (0, 0, 0, 0))
-        self.rare_tokens, self.texts = few[3], texts
-        self.rare = (few[3] - self.discount * few[2]) / self.tokens + self.unknown if self.tokens else 1.0
+        # as a context the start of texts stands in for their end: both occur once a text
+        self.k2 = solved(words, of(PAIR, 1) + of(LAST, 1))
+        self.k3 = solved(totals.get(PAIR, {}), of(TRIPLE, 1))
 
     def prob(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, (c - self.discount) / max(self.tokens, 1), self.unknown)
@@ -173,33 +263,76 @@ class Unigrams:
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
-
-class Chunk:
-    """A chunk with its words' counts, as bigrams of states."""
-
-    def __init__(self, row: dict, count: np.ndarray, uni: Unigrams) -> None:
-        words = np.frombuffer(row["words"], np.uint64)
-        self.count, self.ids = count, _unpack(row["ids"], np.uint32)
-        self.lens, self.held = np.frombuffer(row["lens"], np.int64), np.frombuffer(row["held"], bool)
-        self.doc_ids = [i if k else None for i, k in zip(np.frombuffer(row["doc_ids"], np.int64).tolist(), np.frombuffer(row["known"], bool).tolist())]
-        frequent = count >= RARE
-        state, weight = np.where(frequent, words, _RARE), np.where(frequent, count, uni.rare_tokens)
-        now = state[self.ids]
-        self.first = np.cumsum(self.lens) - self.lens
-        before, self.context = np.empty_like(now), np.empty(len(now), np.int64)
-        before[1:], self.context[1:] = now[:-1], weight[self.ids[:-1]]
-        before[self.first], self.context[self.first] = _START, uni.texts
-        key = mix64(before * np.uint64(0x9FB21C651E98DF25) + mix64(now))
-        self.keys, at, self.place = np.unique(key, return_index=True, return_inverse=True)
-        self.kinds = np.log2(np.maximum(self.context, 1)).astype(np.uint8)
-        self.key_kinds = self.kinds[at]
-
-    def train_counts(self) -> np.ndarray:
-        return np.bincount(self.place[~np.repeat(self.held, self.lens)], minlength=len(self.keys))
-
-
-def _with_answers(chunks: DataFrame, answers: DataFrame, kernel, schema: str) -> DataFrame:
-    return chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "part", "counts", "stage").groupBy("chunk")).applyInArrow(kernel, schema)
+    @staticmethod
+    def backoff(context: np.ndarray, k: float) -> np.ndarray:
+        """1 - L of contexts with such counts."""
+        return np.minimum(1.0, (1 + k) / (np.maximum(context, 1) + k))
+
+
+class Automaton:
+    """States, arcs and failure arcs that a chunk's texts can reach.
+
+    Arcs are numbered by their distinct n-grams; word, pair and triple say for each token
+    which n-gram ends with it. Weights are log10, and arcs that training hasn't seen are nan."""
+
+    def __init__(self, chunk: Chunk, answers: list[np.ndarray], model: Smoothing) -> None:
+        count, pair_count, last_count, triple_count = answers
+        self.word, self.pair, self.triple = chunk.ids, np.empty(len(chunk.ids), np.int64), np.zeros(len(chunk.ids), np.int64)
+        _, self.pair[~chunk.ends] = np.unique(chunk.pairs[~chunk.ends], return_inverse=True)
+        _, last = np.unique(chunk.pairs[chunk.ends], return_inverse=True)
+        self.pair[chunk.ends] = last + len(pair_count)
+        pair_count = np.r_[pair_count, last_count]
+        _, self.triple[chunk.inner] = np.unique(chunk.triples[chunk.inner], return_inverse=True)
+        # one token that each n-gram ends with tells its words
+        at2, at3 = np.empty(len(pair_count), np.int64), np.empty(len(triple_count), np.int64)
+        at2[self.pair] = np.arange(len(self.pair))
+        inner = np.flatnonzero(chunk.inner)
+        at3[self.triple[inner]] = inner
+        p = model.prob(count)
+        context = np.where(chunk.inner[at2], count[self.word[at2 - 1]], model.texts)
+        fail = model.backoff(context, model.k2)
+        p2 = (1 - fail) * pair_count / np.maximum(context, 1) + fail * p[self.word[at2]]
+        context = pair_count[self.pair[at3 - 1]]
+        fail = model.backoff(context, model.k3)
+        p3 = (1 - fail) * triple_count / np.maximum(context, 1) + fail * p2[self.pair[at3]]
+        self.arc1, self.known = np.log10(p), count > 0
+        self.arc2 = np.where(pair_count > 0, np.log10(p2), np.nan)
+        self.arc3 = np.where(triple_count > 0, np.log10(p3), np.nan)
+        self.fail1, self.fail2 = np.log10(model.backoff(count, model.k2)), np.log10(model.backoff(pair_count, model.k3))
+        self.fail_start = float(np.log10(model.backoff(np.array(model.texts), model.k2)))
+        self.inner, self.first, self.lens = chunk.inner, chunk.first, chunk.lens
+
+    def walk(self) -> np.ndarray:
+        """log10 P of every token: from left to right, all pieces of STEPS tokens in step."""
+        cuts = -(-self.lens // STEPS)
+        text = np.repeat(np.arange(len(self.lens)), cuts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begin = self.first[text] + nth * STEPS
+        size = np.minimum(STEPS, self.lens[text] - nth * STEPS)
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        of_word, of_pair, of_triple = self.arc1[self.word], self.arc2[self.pair], np.where(self.inner, self.arc3[self.triple] if len(self.arc3) else np.nan, np.nan)
+        fail_word, fail_pair = self.fail1[self.word], self.fail2[self.pair]
+        known = self.known[self.word]
+        out = np.empty(len(self.word))
+        # the state's order and the log10 weights of its failure arcs: from pair to word, from word to none
+        state = np.where(self.inner[begin], np.where(of_pair[begin - 1] == of_pair[begin - 1], 2, known[begin - 1].astype(int)), 1)
+        down2 = np.where(self.inner[begin], fail_pair[begin - 1], 0.0)
+        down1 = np.where(self.inner[begin], fail_word[begin - 1], self.fail_start)
+        live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")  # pieces longer than each step
+        for step, n in enumerate(live.tolist()):
+            at = begin[:n] + step
+            state, down1, down2 = state[:n], down1[:n], down2[:n]
+            a2, a3 = of_pair[at], of_triple[at]
+            seen2 = a2 == a2
+            take3 = (state == 2) & (a3 == a3)
+            take2 = ~take3 & (state >= 1) & seen2
+            fell2 = (state == 2) & ~take3
+            fell1 = (state >= 1) & ~take3 & ~take2
+            out[at] = np.where(take3, a3, np.where(take2, a2, of_word[at])) + np.where(fell2, down2, 0.0) + np.where(fell1, down1, 0.0)
+            state = np.where(seen2, 2, known[at].astype(int))
+            down1, down2 = fail_word[at], fail_pair[at]
+        return out
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -207,48 +340,36 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def scored(docs: DataFrame) -> DataFrame:
     """SCORES of every document."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(8, ceil(size / SLICE))
-    chunks = written(chunked(docs), "chunks")
-
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, words, train in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                keys = np.frombuffer(words, np.uint64)
-                yield _asking(number, keys, _unpack(train, np.uint32), np.zeros(len(keys), np.uint8), ranges)
-
-    words = written(added_up(chunks.select("chunk", "words", "train").mapInArrow(ask_words, ASK), False), "words").withColumn("stage", F.lit(1))
-    held = chunks.select("held").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([sum(b.count(0) for b in batch.column(0).to_pylist())], pa.int64())], names=["n"]) for batch in it), "n long")
-    uni = Unigrams(_totals(words), held.agg(F.sum("n")).first()[0] or 0)
-
-    def ask_pairs(own: pa.Table, answers: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(ASK.split(", "), [pa.int32(), pa.int64(), *[pa.binary()] * 3])})
-        c = Chunk(own.to_pylist()[0], _answer_of(answers, 1), uni)
-        return pa.Table.from_batches([_asking(own.column("chunk")[0].as_py(), c.keys, c.train_counts(), c.key_kinds, ranges)])
-
-    pairs = written(added_up(_with_answers(chunks, words, ask_pairs, ASK), True), "pairs").withColumn("stage", F.lit(2))
-    keep = np.zeros(_EDGES)
-    for kind, (once, _, _, tokens) in _totals(pairs).items():
-        keep[kind] = min(1 - once / tokens, 0.99) if tokens else 0.0
-
-    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in SCORES.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
-        if not own.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        c = Chunk(own.to_pylist()[0], _answer_of(answers, 1), uni)
-        p = uni.prob(c.count)
-        share = np.where(c.count >= RARE, 1.0, p / uni.rare)[c.ids]
-        mix = np.where(c.context > 0, keep[c.kinds], 0.0)
-        arc = mix * _answer_of(answers, 2)[c.place] / np.maximum(c.context, 1) * share
-        logs = np.log10(arc + (1 - mix) * p[c.ids])
+    unit = max(UNIT, int(sqrt(size * PER_UNIT)))
+    ranges, folder = max(2, ceil(size / unit)), new_path(spark, "chunks")
+    manifest = written(chunked(docs, unit, folder), "manifest")
+    sums = manifest.agg(F.count("*"), F.sum("texts")).first()
+    n_chunks, texts = max(1, sums[0]), sums[1] or 0
+    slices = asked(manifest.select("chunk", "file").repartition(n_chunks), folder, ranges)
+    answers = written(added_up(slices.repartition(4 * ranges, "part")), "answers")
+    totals: dict[int, Histogram] = {}
+    # a bucket of counts each, so a few hundred rows a kind
+    by_bucket = answers.where("bucket IS NOT NULL").groupBy(F.floor(F.col("part") / ranges).cast("int").alias("kind"), "bucket").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"))
+    for r in by_bucket.collect():
+        totals.setdefault(r["kind"], {})[r["bucket"]] = (r["types"], r["tokens"])
+    model = Smoothing(totals, texts)
+
+    def score(table: pa.Table) -> pa.Table:
+        c = Chunk(folder, table.column("file")[0].as_py())
+        parts = table.column("part").to_numpy()
+        rows = [np.flatnonzero(parts // ranges == kind) for kind in range(4)]
+        counts = [np.concatenate([np.zeros(0, np.int64), *(_unpack(table.column("counts")[i].as_py()).astype(np.int64) for i in own[np.argsort(parts[own])].tolist())]) for own in rows]
+        logs = Automaton(c, counts, model).walk()
         add = lambda x: np.add.reduceat(x, c.first)
-        n = len(c.lens)
-        cols = [c.doc_ids, c.held, c.lens, add((c.count > 0)[c.ids].astype(np.int64)), np.full(n, uni.tokens), add(uni.base(c.count)[c.ids]), add(logs)]
-        return pa.table([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)
+        known = (counts[WORD] > 0).astype(np.int64)
+        cols = [c.doc_ids, c.held, c.lens, add(known[c.ids]), np.full(len(c.lens), model.tokens), add(model.base(counts[WORD])[c.ids]), add(logs)]
+        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
+        return pa.table([pa.array(x, t) for x, t in zip(cols, kinds)], names=[f.split()[0] for f in SCORES.split(", ")])
 
-    return _with_answers(chunks, words.unionByName(pairs), score, SCORES)
+    rows = answers.where("chunk IS NOT NULL").select("part", "chunk", "file", "counts").repartition(n_chunks, "chunk")
+    return rows.groupBy("chunk").applyInArrow(score, SCORES)
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -182,20 +182,86 @@ def test_links_by_variants_are_complete(spark):
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want))
 
 
+class Backoff:
+    """The language model in plain dictionaries."""
+
+    def __init__(self, texts):
+        self.c = collections.Counter()
+        for w in texts:
+            t = ["<s>", *w]
+            for i in range(1, len(t)):
+                for k in (1, 2, 3):
+                    if i + 1 - k >= 0:
+                        self.c[tuple(t[i + 1 - k : i + 1])] += 1
+        self.texts = len(texts)
+        self.words = {g[0]: n for g, n in self.c.items() if len(g) == 1}
+        self.n = sum(self.words.values())
+        one, two = (sum(n == k for n in self.words.values()) for k in (1, 2))
+        self.d = one / (one + 2 * two) if one else 0.5
+        self.k = [self.solve(1, 2), self.solve(2, 3)]
+
+    def context(self, h):
+        return self.texts if h == ("<s>",) else self.c[h]
+
+    def solve(self, order, above):
+        own = [self.texts] if order == 1 else []
+        own += [n for g, n in self.c.items() if len(g) == order and g[-1] is not None]
+        once = sum(n == 1 for g, n in self.c.items() if len(g) == above)
+        low, high = math.log(0.1), math.log(1e12)
+        for _ in range(100):
+            k = math.exp((low + high) / 2) - 1
+            low, high = (low, (low + high) / 2) if sum(n * min(1, (1 + k) / (n + k)) for n in own) > once else ((low + high) / 2, high)
+        return math.exp(low) - 1
+
+    def p(self, w, h):
+        if not h:
+            return (self.words[w] - self.d) / self.n if w in self.words else self.d * len(self.words) / self.n
+        n, k, lower = self.context(h), self.k[len(h) - 1], self.p(w, h[1:])
+        if not n:
+            return lower
+        fail = min(1, (1 + k) / (n + k))
+        return (1 - fail) * self.c[(*h, w)] / n + fail * lower
+
+    def score(self, w):
+        t = ["<s>", *w]
+        return sum(math.log10(self.p(t[i], tuple(t[max(0, i - 2) : i]))) for i in range(1, len(t)))
+
+
 def test_language_model(docs, empty):
     tokens = {i if i != 3 else None: WORD.findall((t or "").translate(LOWER)) + [None] for i, t in enumerate(TEXTS)}
-    c = collections.Counter()
-    for i, w in [*tokens.items(), (4, tokens[4])]:
-        if not lm.held_out(i):
-            c.update(w)
+    train = [w for i, w in [*tokens.items(), (4, tokens[4])] if not lm.held_out(i)]
+    c = collections.Counter(x for w in train for x in w)
+    model = Backoff(train)
     n, v = sum(c.values()), len(c)
     got = by_id(lm.op4(docs), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     for i, w in tokens.items():
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        assert got[i][:4] == (lm.held_out(i), len(w), sum(c[x] > 0 for x in w), n) and got[i][4] == pytest.approx(base, rel=1e-9) and got[i][5] < 0
+        assert got[i][:4] == (lm.held_out(i), len(w), sum(c[x] > 0 for x in w), n) and got[i][4] == pytest.approx(base, rel=1e-9)
+        assert got[i][5] == pytest.approx(model.score(w), rel=1e-6)
     assert lm.op4(empty).count() == 0
 
 
+def test_language_model_equals_a_plain_one_and_sums_to_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(30)]
+    texts = {i: rng.choice(words, int(rng.integers(0, 60)), p=np.arange(30, 0, -1) / 465).tolist() for i in range(120)}
+    twice = [f"z{k}" for k in rng.integers(0, 9, 40)]
+    free = [i for i in range(200, 400) if not lm.held_out(i)]
+    texts |= {free[0]: twice, free[1]: twice, free[2]: [f"y{k}" for k in rng.integers(0, 9, 40)]}
+    train = [[*w, None] for i, w in texts.items() if not lm.held_out(i)]
+    model = Backoff(train)
+    monkeypatch.setattr(lm, "STEPS", 7)  # many pieces a text
+    monkeypatch.setattr(lm, "UNIT", 2000)  # many chunks and ranges
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.scored(rows).collect()}
+    assert len(got) == len(texts)
+    for i, w in texts.items():
+        assert got[i] == pytest.approx(model.score([*w, None]), rel=1e-6)
+    for h in [("w0", "w1"), ("w5", "unseen"), ("unseen", "w2"), ("<s>",), ("<s>", "w0"), (twice[0], twice[1]), ()]:
+        assert sum(model.p(w, h) for w in [*model.words, "unseen"]) == pytest.approx(1, abs=1e-9)
+    assert got[free[0]] > got[free[2]] + 10  # what occurs twice is told from what occurs once
+
+
 def test_language_model_prefers_seen_words(spark):
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in range(12)]
