@@ -29,13 +29,13 @@ and answers in the same order. So a frequent n-gram costs one entry a chunk, not
 occurrence, and no task depends on it. The answered chunk builds the part of the automaton
 that its texts can reach, and walks. Only histograms of counts reach the driver.
 
-There are (bytes / unit)^2 slices; unit grows with the root of the input beyond 95 GB of
+There are (bytes / unit)^2 slices; unit grows with the root of the input beyond 58 GB of
 text, so that a slice keeps about 4 KB and the number of slices grows with the input.
 
 Edge cases: null, empty and wordless texts consist of the end token; repeated rows come
 out once each; without training texts every score is 0; an empty table gives an empty
-result; a null id counts as the empty text for the fold. N-grams are told apart by 64-bit
-hashes. A document of any length is part of one chunk.
+result; a null id counts as the empty text for the fold. N-grams are told apart by 56-bit
+hashes: of 10^9 different ones each is mistaken for another with odds of 10^-8. A document of any length is part of one chunk.
 """
 
 from __future__ import annotations
@@ -56,11 +56,13 @@ from terrane.llm.runtime import new_path, small_batches, written
 from terrane.llm.textops import lower_ascii, mix64, span_hash, text_buffer, word_spans
 from terrane.llm.tokenfile import opened
 
-UNIT, PER_UNIT = 16 << 20, 2700  # least bytes of text in a chunk and a range; unit^2 / bytes of text
+UNIT, PER_UNIT = 12 << 20, 2700  # least bytes of text in a chunk and a range; unit^2 / bytes of text
 STEPS, FOLDS, HELD = 512, 5, 1
 _END, _START, _PAIR, _TRIPLE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0x165667B19E3779F9))
 #: Kinds of n-grams: words, pairs, pairs with the end token, triples.
 WORD, PAIR, LAST, TRIPLE = range(4)
+BITS = 56  # of an n-gram's key
+_SPARE = np.uint64(64 - BITS)
 _EXACT = 256  # counts below have a bucket each, others four for each power of two
 
 
@@ -86,6 +88,13 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b), dtype=np.uint64)
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs (by sorting: np.unique hashes, which takes several times as long here)."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
 def held_out(doc_id: int | None) -> bool:
     """Is crc32 of the id as text, modulo FOLDS, the held-out fold? (a null id: of the empty text)"""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
@@ -155,10 +164,10 @@ class Chunk:
         before = np.empty_like(now)
         before[1:] = now[:-1]
         before[self.first] = _START
-        self.pairs = mix64(before * _PAIR + mix64(now))
+        self.pairs = mix64(before * _PAIR + mix64(now)) >> _SPARE
         #: Of each token the key of the pair before with it; none at a text's first token.
         self.triples = np.empty_like(now)
-        self.triples[1:] = mix64(self.pairs[:-1] * _TRIPLE + mix64(now[1:] ^ _TRIPLE))
+        self.triples[1:] = mix64(self.pairs[:-1] * _TRIPLE + mix64(now[1:] ^ _TRIPLE)) >> _SPARE
         self.inner = np.ones(len(now), bool)
         self.inner[self.first] = False
         self.ends = np.zeros(len(now), bool)
@@ -166,10 +175,10 @@ class Chunk:
 
     def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each kind its distinct keys, sorted, and their training counts."""
-        yield WORD, self.words, np.bincount(self.ids[self.train], minlength=len(self.words))
+        yield WORD, self.words >> _SPARE, np.bincount(self.ids[self.train], minlength=len(self.words))
         for kind, keys, which in ((PAIR, self.pairs, ~self.ends), (LAST, self.pairs, self.ends), (TRIPLE, self.triples, self.inner)):
-            every = np.unique(keys[which])
-            own, times = np.unique(keys[which & self.train], return_counts=True)
+            every, _ = _runs(keys[which])
+            own, times = _runs(keys[which & self.train])
             counts = np.zeros(len(every), np.int64)
             counts[np.searchsorted(every, own)] = times
             yield kind, every, counts
@@ -177,7 +186,7 @@ class Chunk:
 
 def _slices(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each hash range starts among sorted keys, and their end."""
-    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=np.uint64)
+    edges = np.array([(r << BITS) // ranges for r in range(1, ranges)], dtype=np.uint64)
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
@@ -347,7 +356,7 @@ def scored(docs: DataFrame) -> DataFrame:
     manifest = written(chunked(docs, unit, folder), "manifest")
     sums = manifest.agg(F.count("*"), F.sum("texts")).first()
     n_chunks, texts = max(1, sums[0]), sums[1] or 0
-    slices = asked(manifest.select("chunk", "file").repartition(n_chunks), folder, ranges)
+    slices = asked(manifest.select("chunk", "file").repartitionByRange(n_chunks, "chunk"), folder, ranges)
     answers = written(added_up(slices.repartition(4 * ranges, "part")), "answers")
     totals: dict[int, Histogram] = {}
     # a bucket of counts each, so a few hundred rows a kind
@@ -368,7 +377,7 @@ def scored(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
         return pa.table([pa.array(x, t) for x, t in zip(cols, kinds)], names=[f.split()[0] for f in SCORES.split(", ")])
 
-    rows = answers.where("chunk IS NOT NULL").select("part", "chunk", "file", "counts").repartition(n_chunks, "chunk")
+    rows = answers.where("chunk IS NOT NULL").select("part", "chunk", "file", "counts").repartitionByRange(n_chunks, "chunk")
     return rows.groupBy("chunk").applyInArrow(score, SCORES)
 
 
