@@ -8,7 +8,8 @@ deleted, 64 keys a fingerprint. Equal segments share all their keys, segments on
 bit apart share exactly one, so an equality join on keys meets every candidate. The join
 deals fingerprints by key, sorts, verifies the whole distance of those that meet under
 their first common key, and returns the links of a spanning forest of each key: never
-all pairs of a group.
+all pairs of a group. A key that many fingerprints share is split again, exactly, by
+pieces of their other bits, so that one key is never one task's work.
 
 Equal fingerprints collapse to one row before the join, so copies never multiply.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm.components import connected
 from terrane.llm.runtime import small_batches, written
-from terrane.llm.textops import joined_words, lower_ascii, text_buffer, word_spans
+from terrane.llm.textops import joined_words, lower_ascii, mix64, text_buffer, word_spans
 
 WIDTH, SEED, MAX_BITS = 4, 42, 4
 #: First bit and number of bits of each segment.
@@ -39,6 +40,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 CHUNK = 100_000
 #: Rows of keys that are compared at once, unless one key has more.
 HELD = 100_000
+#: A key with more fingerprints is split by PIECES sub-keys.
+HOT, PIECES = 4096, MAX_BITS + 1
 
 
 def fingerprints(column: pa.Array, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
@@ -65,7 +68,9 @@ def fingerprints(column: pa.Array, width: int = WIDTH, seed: int = SEED) -> np.n
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and ``fp``, the fingerprint as a signed long."""
+    """The kept columns and ``fp``, the fingerprint as a signed long; a kept column may not be named so."""
+    if taken := {"fp", "_text", "_least", "component_id", "label"} & set(keep):
+        raise ValueError(f"columns {sorted(taken)} clash with those of the result: rename them or don't keep them")
     small_batches(docs.sparkSession)
     out = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes[:-1]) + ", fp long"
@@ -98,10 +103,10 @@ def first_common_bit(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def local_forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def local_forest(key: np.ndarray, fp: np.ndarray, first_only: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key: (fingerprint, least fingerprint of its component within the key), linked ones only.
 
-    A pair counts under its first common key alone. Rows of one key meet at growing
+    first_only: a pair counts under its first common key alone. Rows of one key meet at growing
     distance, all keys at once, so no list of pairs outlives a step."""
     n = len(key)
     label = np.arange(n)
@@ -126,7 +131,8 @@ def local_forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     while len(at):
         x = fp[at] ^ fp[at + step]
         near = np.flatnonzero(np.bitwise_count(x) <= MAX_BITS)
-        near = near[first_common_bit(x[near]) == bit[at[near]]]
+        if first_only:
+            near = near[first_common_bit(x[near]) == bit[at[near]]]
         if len(near):
             pairs.append((at[near], at[near] + step))
             held += len(near)
@@ -142,28 +148,88 @@ def local_forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return fp[linked], fp[label[linked]]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links a, b that join the same components as all pairs of fingerprints at MAX_BITS or fewer differing bits.
+def sub_keys(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """PIECES keys for every fingerprint of a crowded key, and the fingerprints beside them.
 
-    fps: distinct fingerprints, column fp. A key with k fingerprints gives k - 1 links at most."""
-    keys = fps.select("fp", F.explode(wildcard_keys()).alias("key")).repartition("key").sortWithinPartitions("key")
+    Fingerprints of one key agree in a segment but for a bit at most, so what tells them apart lies in the other
+    two: cut into PIECES = MAX_BITS + 1, two within MAX_BITS of each other agree in a piece. Keys that fall
+    together by chance cost comparisons and nothing else."""
+    keys = []
+    own = np.searchsorted([lo + size for lo, size in SEGMENTS], key >> 32, side="right")
+    for lo, size in SEGMENTS:  # the others' bits side by side
+        mine = np.flatnonzero(own == SEGMENTS.index((lo, size)))
+        x = fp[mine]
+        rest = (x & np.uint64((1 << lo) - 1)) | ((x >> np.uint64(lo + size)) << np.uint64(lo))
+        edges = np.linspace(0, 64 - size, PIECES + 1).astype(int).tolist()
+        for k, (s, e) in enumerate(zip(edges, edges[1:])):
+            piece = (rest >> np.uint64(s)) & np.uint64((1 << (e - s)) - 1)
+            keys.append((mine, mix64(key[mine].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(piece + np.uint64(k << 32)))))
+    at = np.concatenate([m for m, _ in keys])
+    return np.concatenate([k for _, k in keys]).view(np.int64), fp[at]
+
+
+MET = "a long, b long, sub long"
+
+
+def _met(a: np.ndarray, b: np.ndarray | None = None, sub: np.ndarray | None = None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), none if b is None else pa.array(b.view(np.int64)), none if sub is None else pa.array(sub)], names=["a", "b", "sub"])
+
+
+def _meeting(keys: DataFrame, crowded: bool) -> DataFrame:
+    """MET for rows (fp, key) in the order of their keys: links a, b; with crowded also rows
+    a, sub of keys with more than HOT fingerprints, which are not compared here."""
+
+    def work(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if crowded and len(key):
+            run = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[run, len(key)])
+            hot = np.repeat(size > HOT, size)
+            if hot.any():
+                yield from deferred(key[hot], fp[hot])
+                key, fp = key[~hot], fp[~hot]
+        yield _met(*local_forest(key, fp, crowded))
+
+    def deferred(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(key), HELD):
+            sub, own = sub_keys(key[k : k + HELD], fp[k : k + HELD])
+            yield _met(own, None, sub)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        key, fp, hot = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
         for batch in batches:
             key = np.r_[key, batch.column(1).to_numpy()]
             fp = np.r_[fp, batch.column(0).to_numpy().view(np.uint64)]
-            if len(key) < HELD or key[0] == key[-1]:
+            if crowded and hot is not None:  # the rest of a key that was too large to hold
+                n = int(np.searchsorted(key, hot, side="right"))
+                yield from deferred(key[:n], fp[:n])
+                hot = hot if n == len(key) else None
+                key, fp = key[n:], fp[n:]
+            if len(key) < HELD:
+                continue
+            if key[0] == key[-1]:
+                if crowded:
+                    hot = int(key[0])
+                    yield from deferred(key, fp)
+                    key, fp = key[:0], fp[:0]
                 continue
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            yield out(*local_forest(key[:cut], fp[:cut]))
+            yield from work(key[:cut], fp[:cut])
             key, fp = key[cut:], fp[cut:]
-        yield out(*local_forest(key, fp))
+        yield from work(key, fp)
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    return keys.mapInArrow(kernel, MET)
 
-    return keys.mapInArrow(kernel, "a long, b long").distinct()
+
+def links(fps: DataFrame) -> DataFrame:
+    """Links a, b that join the same components as all pairs of fingerprints at MAX_BITS or fewer differing bits.
+
+    fps: distinct fingerprints, column fp. A key with k fingerprints gives k - 1 links at most. A key with more than
+    HOT of them is dealt anew by sub-keys, over many tasks; of a sub-key the fingerprints are held in one, 8 bytes each."""
+    keys = fps.select("fp", F.explode(wildcard_keys()).alias("key")).repartition("key").sortWithinPartitions("key")
+    met = written(_meeting(keys, True), "met")
+    again = met.where("sub IS NOT NULL").select(F.col("a").alias("fp"), F.col("sub").alias("key")).repartition("key").sortWithinPartitions("key")
+    return met.where("sub IS NULL").select("a", "b").union(_meeting(again, False).select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
