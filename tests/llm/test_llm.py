@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terrane.llm import bpe, lm, media, mixing, pii, quality, simhash, tokenfile, toxicity, urls
+from terrane.llm import bpe, components, lm, media, mixing, pii, quality, simhash, tokenfile, toxicity, urls
 from terrane.llm.textops import text_buffer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -161,7 +161,11 @@ def test_fingerprints_and_components(docs, empty):
     assert simhash.op9(empty).count() == 0
 
 
-def test_links_by_variants_are_complete(spark):
+@pytest.mark.parametrize("hot, held, hub", [(4096, 100_000, 1000), (2, 30, 2), (3, 5, 3)])
+def test_links_by_variants_are_complete(spark, monkeypatch, hot, held, hub):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(components, "HUB", hub)
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 63, 40, dtype=np.int64)
     fps = {int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 7), replace=False)) for b in base for _ in range(12)}
@@ -180,6 +184,15 @@ def test_links_by_variants_are_complete(spark):
     for n, lab in got:
         parts[lab].add(n)
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want))
+    if hot < 4096:  # some keys were split
+        keys = df.select("fp", F.explode(simhash.wildcard_keys()).alias("key")).groupBy("key").count()
+        assert keys.where(F.col("count") > hot).count() > 0
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200 - k, 201 - k) for k in range(10)]
+    got = {r.node: r.label for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {i: 191 for i in range(191, 202)}
 
 
 class Backoff:
@@ -384,7 +397,7 @@ def test_quality_judges_by_the_documents_own_language(spark):
     mixed = [(20_000 + k, prose(rng, alphabets[k], 60) + " " + prose(rng, alphabets[(k + 4) % 18], 60), f"l{k:02}" if k else None) for k in range(18)]
     d = spark.createDataFrame(rows + wrong + mixed, "doc_id long, text string, lang string").repartition(3)
     judge = quality.trained(d)
-    assert set(judge.files) == {r[2] for r in rows} and judge.table("l17").shape == (quality.SYMBOLS**3,)
+    assert set(judge.files) == {r[2] for r in rows} and len(judge.model("l17").logp) > quality.SYMBOLS
     kept = by_id(quality.op7(d), "kept")
     assert not any(kept[i][0] for i, _, _ in wrong) and all(kept[i][0] for i, _, _ in rows + mixed)
     assert {r.doc_id for r in quality.kept_documents(d).collect()} == {i for i, (k,) in kept.items() if k}
@@ -402,11 +415,63 @@ def test_quality_verdict_on_planted_junk(spark):
     assert sum(kept[i][0] for i in range(300)) >= 299 and sum(k for i, (k,) in kept.items() if i >= 1000) <= 8
 
 
+class KneserNey:
+    """Modified Kneser-Ney of order three over symbols, in plain dictionaries."""
+
+    def __init__(self, texts):
+        c3 = collections.Counter()
+        for t in texts:
+            s = [0, 0, *(int(quality.SYMBOL[b]) for b in t.encode())]
+            c3.update(zip(s, s[1:], s[2:]))
+        self.c = [collections.Counter(g[2:] for g in {g[1:] for g in c3}), collections.Counter(g[1:] for g in c3), c3]
+        # order one counts the different symbols before in the pairs
+        self.c[0] = collections.Counter(g[1:] for g in self.c[1])
+        self.d = []
+        for c in self.c[1:]:
+            n = [0, *(max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4))]
+            y = n[1] / (n[1] + 2 * n[2])
+            raw = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
+            self.d.append([0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), raw))])
+
+    def p(self, g):
+        if len(g) == 1:
+            return (self.c[0][g] + 1) / (sum(self.c[0].values()) + quality.SYMBOLS)
+        c, d = self.c[len(g) - 1], self.d[len(g) - 2]
+        own = [v for k, v in c.items() if k[:-1] == g[:-1]]
+        if not own:
+            return self.p(g[1:])
+        left = sum(d[min(v, 3)] for v in own) / sum(own)
+        return (c[g] - d[min(c[g], 3)]) / sum(own) + left * self.p(g[1:])
+
+    def log_ppl(self, t):
+        s = [0, 0, *(int(quality.SYMBOL[b]) for b in t.encode())]
+        return -sum(math.log10(self.p(g)) for g in zip(s, s[1:], s[2:])) / max(1, len(s) - 2)
+
+
+def test_perplexity_equals_a_plain_model(spark):
+    rng = np.random.default_rng(3)
+    texts = [prose(rng, ["er", "th", "an", "Ön", "re. "], int(rng.integers(0, 30))) for _ in range(40)] + ["x", "", "zq9 zq9"]
+    model = KneserNey(texts)
+    got = by_id(quality.op7(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)), "log_ppl")
+    for i, t in enumerate(texts):
+        assert got[i][0] == pytest.approx(model.log_ppl(t), abs=1e-5)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, quality.SYMBOLS**3, 4000))
-    table = quality.Model(keys, rng.integers(1, 9, len(keys))).table().reshape(-1, quality.SYMBOLS)
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
+    model = quality.Model.counted(keys, rng.integers(1, 9, len(keys)))
+    contexts = np.r_[keys[:50] // quality.SYMBOLS, 1, 2, 3]
+    logs = model.logs((contexts[:, None] * quality.SYMBOLS + np.arange(quality.SYMBOLS)).ravel()).reshape(len(contexts), -1)
+    assert np.allclose((10.0**logs).sum(1), 1, atol=1e-4)
+    again = quality.Model.unpacked(model.packed())
+    assert (again.logs(keys) == model.logs(keys)).all()
+
+
+def test_quality_columns_may_clash(spark):
+    rows = [(1, prose(np.random.default_rng(1), ["er", "th", "an"], 60), "en", "x", 2.5, "y"), (2, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, log_ppl double, __own string")
+    assert quality.kept_documents(d).columns == d.columns and [r.doc_id for r in quality.kept_documents(d).collect()] == [1]
 
 
 def test_mixing_targets_and_rounding(spark, docs, empty):
