@@ -145,3 +145,20 @@ def membership(near: DataFrame, labels: DataFrame, groups: tuple[int, ...], rule
     else:
         weight = (F.row_number().over(by.orderBy(F.desc("s"), "h")) == 1).cast("double")
     return full.select("i", "h", weight.alias("weight"))
+
+
+def label_changes(edges: DataFrame, support_: DataFrame, labels: DataFrame, groups: tuple[int, ...], phi: float) -> DataFrame:
+    """(unit, h, delta): the change of the log pseudo-likelihood when a unit alone moves to cluster h.
+
+    A move changes the unit's own term and, through their support, those of its neighbours."""
+    wide = support_.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "s"))), lambda x: x.s).alias("s"))  # one entry a cluster
+    own = labels.join(wide, "unit").withColumn("h", F.explode(F.array(*[F.lit(g) for g in groups]))).where("h <> g")
+    place = F.create_map(*[F.lit(x) for i, g in enumerate(groups) for x in (g, i)])
+    near = edges.join(labels.select(F.col("unit").alias("j"), F.col("g").alias("gj")), "j").join(wide.select(F.col("unit").alias("j"), F.col("s").alias("sj")), "j")
+    moved = own.select("unit", "g", "h").join(near, F.col("unit") == F.col("i"))
+    new = F.transform("sj", lambda v, k: v + F.col("w") * ((k == place[F.col("h")]).cast("double") - (k == place[F.col("g")]).cast("double")))
+    term = phi * F.col("w") * ((F.col("gj") == F.col("h")).cast("double") - (F.col("gj") == F.col("g")).cast("double"))
+    norm = log_sum_exp(F.transform(new, lambda v: v * phi)) - log_sum_exp(F.transform("sj", lambda v: v * phi))
+    others = moved.groupBy("unit", "h").agg(F.sum(term - norm).alias("x"))
+    at = lambda c: F.col("s")[place[F.col(c)]]
+    return own.join(others, ["unit", "h"], "left").select("unit", "h", (phi * (at("h") - at("g")) + F.coalesce("x", F.lit(0.0))).alias("delta"))

@@ -52,14 +52,29 @@ def losses(classes: tuple[str, ...], probs: tuple[str, ...], y: str = "y") -> tu
 
 
 def overall_metrics(rows: DataFrame, classes: tuple[str, ...], probs: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
-    """N, accuracy, kappa, log-loss, Brier, macro F1 (undefined skipped) and weighted precision (undefined counts 0)."""
-    logloss, brier = losses(classes, probs)
-    main = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("accuracy"), logloss.alias("logloss"), brier.alias("brier"))
-    each = class_metrics(rows, classes, keys).groupBy(*keys).agg(
-        F.avg("f1").alias("macro_f1"), F.avg("precision").alias("macro_precision"),
-        (F.sum(F.coalesce("precision", F.lit(0.0)) * F.col("support")) / F.sum("support")).alias("weighted_precision"),
-    )
-    return main.join(kappa(rows, keys), list(keys)).join(each, list(keys))
+    """N, accuracy, kappa, log-loss, Brier, macro F1 (undefined skipped) and weighted precision (undefined counts 0).
+
+    Rows are read once: counts and sums of losses by key, class and prediction, at most classes squared a key, give all."""
+    own = F.log(true_prob("y", classes, probs))
+    brier = sum(((F.col(p) - (F.col("y") == c).cast("double")) * (F.col(p) - (F.col("y") == c).cast("double")) for c, p in zip(classes, probs)), F.lit(0.0))
+    sums = rows.groupBy(*keys, "y", "yhat").agg(F.count("*").alias("n"), F.sum(own).alias("ll"), F.sum(brier).alias("br"))
+    cells = sums.groupBy(*keys).agg(F.collect_list(F.struct("y", "yhat", "n", "ll", "br")).alias("cells"))
+    total = lambda f: F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + f(x))
+    count = lambda f: F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + F.when(f(x), x.n).otherwise(0))
+    n = count(lambda x: F.lit(True))
+    f1s, precisions, weighted, chance = [], [], F.lit(0.0), F.lit(0.0)
+    for c in classes:
+        tp = count(lambda x, c=c: (x.y == c) & (x.yhat == c))
+        of_y, of_p = count(lambda x, c=c: x.y == c), count(lambda x, c=c: x.yhat == c)
+        precision = divide(tp, of_p)
+        f1s.append(F.when(of_y > 0, 2 * tp / (of_y + of_p)))
+        precisions.append(precision)
+        weighted = weighted + F.coalesce(precision, F.lit(0.0)) * of_y
+        chance = chance + of_y * of_p
+    mean = lambda xs: sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0)) / F.nullif(sum((x.isNotNull().cast("double") for x in xs), F.lit(0.0)), F.lit(0.0))
+    out = cells.select(*keys, n.alias("n"), (count(lambda x: x.y == x.yhat) / n).alias("accuracy"), (-total(lambda x: x.ll) / n).alias("logloss"), (total(lambda x: x.br) / n).alias("brier"), chance.alias("_c"), mean(f1s).alias("macro_f1"), mean(precisions).alias("macro_precision"), (weighted / n).alias("weighted_precision"))
+    po, pe = F.col("accuracy"), F.col("_c") / (F.col("n") * F.col("n"))
+    return out.withColumn("kappa", F.when(F.abs(1 - pe) >= 1e-12, (po - pe) / (1 - pe))).withColumn("n", F.col("n").cast("long")).drop("_c")
 
 
 def adjusted_rand(rows: DataFrame, a: str, b: str, degenerate: str = "identity") -> DataFrame:

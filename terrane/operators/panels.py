@@ -103,3 +103,22 @@ def impute(rows: DataFrame, transitions: list[str], classes: tuple[str, ...], in
         return pd.DataFrame({"unit": pdf["unit"], "t": pdf["t"], "prob": list(mixed), "posterior": [post] * len(pdf)})
 
     return rows.groupBy("block").applyInPandas(work, "unit long, t long, prob array<double>, posterior array<double>")
+
+
+def plug_in(rows: DataFrame, transition: str, classes: tuple[str, ...], start: str) -> DataFrame:
+    """(unit, t, yhat): at each time point the best class given the one predicted before, the first of ties; from start.
+
+    The class before picks a column of the transition array, so each row first becomes a map from class to class;
+    rows of a unit meet in one array of those, C numbers a row, and a fold follows it."""
+    n = len(classes)
+    best = [F.array_position(F.array(*[F.col(transition)[j * n + k] for j in range(n)]), F.greatest(*[F.col(transition)[j * n + k] for j in range(n)])) - 1 for k in range(n)]
+    steps = rows.select("unit", "t", F.array(*[b.cast("int") for b in best]).alias("to"))
+    ordered = steps.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("t", "to"))).alias("steps"))
+    first = F.struct(F.lit(classes.index(start)).alias("k"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        k = x.to[acc.k]
+        return F.struct(k.alias("k"), F.array_append(acc.out, k).alias("out"))
+
+    done = ordered.select("unit", F.explode(F.arrays_zip(F.col("steps.t").alias("t"), F.aggregate("steps", first, step, lambda acc: acc.out).alias("k"))).alias("r"))
+    return done.select("unit", "r.t", F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("r.k") + 1).alias("yhat"))

@@ -79,3 +79,21 @@ def allocate(rows: DataFrame, key: str, share: str, total: int) -> DataFrame:
     rank = F.row_number().over(W.orderBy(F.desc(F.round(F.col("_raw") - F.col("_floor"), 9)), key))
     left = F.lit(total) - F.sum("_floor").over(W.partitionBy())
     return out.withColumn("_r", rank).select(key, (F.col("_floor") + (F.col("_r") <= left).cast("long")).alias("count"))
+
+
+def study_grid(spark, settings: dict[str, tuple], unused: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Cells of a study: all combinations, those a scenario tells no difference between once, and a seed from their hash.
+
+    unused: for a scenario the settings it doesn't use, which take their first value. Two cells with one seed are an error."""
+    grid = None
+    for name, values in settings.items():
+        one = spark.createDataFrame([(v,) for v in values], f"{name} {'string' if isinstance(values[0], str) else 'double' if isinstance(values[0], float) else 'int'}")
+        grid = one if grid is None else grid.crossJoin(F.broadcast(one))  # a handful of settings each
+    for scenario, names in unused.items():
+        for name in names:
+            grid = grid.withColumn(name, F.when(F.col("scenario") == scenario, F.lit(settings[name][0])).otherwise(F.col(name)))
+    text = F.concat_ws("|", *[(F.col(n) * 10).cast("int").cast("string") if isinstance(v[0], float) else F.col(n).cast("string") for n, v in settings.items()])
+    grid = grid.distinct().withColumn("seed", F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long"))
+    if grid.select("seed").distinct().count() != grid.count():
+        raise ValueError("two cells of the study have one seed")
+    return grid

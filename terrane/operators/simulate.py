@@ -91,3 +91,28 @@ def gaussian_field(xy: np.ndarray, reach: float, seed: int, nugget: float = 1e-8
     """A draw with exponential covariance at points; dense, for driver-sized sets only."""
     d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
     return np.linalg.cholesky(np.exp(-d / reach) + nugget * np.eye(len(xy))) @ np.random.default_rng(seed).normal(size=len(xy))
+
+
+def ratio_sample(points, key: str, counts: dict[str, int], seed: int):
+    """So many points of each region, the first by a hash; regions with fewer give all. points: key and region."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from terrane.functions.draws import draw
+
+    need = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
+    ranked = points.withColumn("_d", draw(seed, key)).withColumn("_rn", F.row_number().over(W.partitionBy("region").orderBy("_d", key)))
+    return ranked.where(F.col("_rn") <= need[F.col("region")]).select(key, "region")
+
+
+def correlated_predictors(ids, key: str, active: int, inactive: int, rho: float, seed: int = 91):
+    """x1, x2, ...: each sqrt(rho) of a field shared by the active or the inactive ones, and the rest its own; scaled to
+    mean 0 and population standard deviation 1."""
+    from pyspark.sql import functions as F
+
+    from terrane.functions.draws import uniform
+
+    n = active + inactive
+    raw = ids.select(key, *[(rho**0.5 * (uniform(seed if j < active else seed + 1, key) - 0.5) + (1 - rho) ** 0.5 * (uniform(seed + 9 + j, key) - 0.5)).alias(f"v{j}") for j in range(n)])
+    one = raw.agg(*[f(f"v{j}").alias(f"{name}{j}") for j in range(n) for name, f in (("m", F.avg), ("s", F.stddev_pop))])
+    return raw.crossJoin(F.broadcast(one)).select(key, *[((F.col(f"v{j}") - F.col(f"m{j}")) / F.col(f"s{j}")).alias(f"x{j + 1}") for j in range(n)])  # one row
