@@ -281,3 +281,59 @@ def d07_correlated_predictors(spark, d):
     from terrane.operators import simulate
 
     return rounded(simulate.correlated_predictors(fx.events(spark, d).select("event_id"), "event_id", 2, 2, 0.3), "x1", "x2", "x3", "x4")
+
+
+# fits; their values are checked against single-machine solvers in the tests
+
+
+def _vectors(spark, d, n: int):
+    return fx.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(n)]), [f"v{i}" for i in range(n)]
+
+
+def _embedding_classes(rows) -> tuple[str, ...]:
+    return tuple(r[0] for r in rows.select("y").distinct().orderBy(F.col("y").cast("int")).collect())  # the classes
+
+
+@query()
+def m05_elastic_net(spark, d):
+    """Coefficients of a grouped elastic net of the embeddings' labels on six of their dimensions, over all rows."""
+    from terrane.operators import distributed
+
+    rows, features = _vectors(spark, d, 6)
+    classes = _embedding_classes(rows)
+    e, _ = distributed.fit(rows, None, 1, features, classes, 0.6, 0.01)[0]
+    return spark.createDataFrame([(c, t, float(e.coef[j, i])) for j, c in enumerate(classes) for i, t in enumerate(("(Intercept)", *features))], "class string, term string, coef double")
+
+
+@query()
+def m12_effective_df(spark, d):
+    """Effective degrees of freedom of ridge fits along a path of penalties, over all rows."""
+    from terrane.operators import distributed
+
+    rows, features = _vectors(spark, d, 4)
+    rows = rows.cache()
+    classes = _embedding_classes(rows)
+    out = [(lam, float(distributed.fit(rows, None, 1, features, classes, 0.0, lam)[0][1])) for lam in (0.0, 0.01, 0.1, 1.0)]
+    rows.unpersist()
+    return spark.createDataFrame(out, "lambda double, df double")
+
+
+@query()
+def m24_local_coefficients(spark, d):
+    """Of every unit the centred coefficients of an elastic net on its 10 nearest units."""
+    from terrane.operators import gw
+
+    u = fx.units(spark, d)
+    coef = gw.nearest_coefficients(u, gw.fit_anchors(_scaled(spark, d), u, u, list(FEATURES), CLASSES, 10, 0.2, 0.05, False, False))
+    return coef.select("unit", F.posexplode("coef").alias("place", "coef"))
+
+
+@query()
+def m25_gw_predict(spark, d):
+    """Mean predicted probabilities of every unit from locally weighted fits at every fourth unit."""
+    from terrane.operators import gw
+
+    u, rows = fx.units(spark, d), _scaled(spark, d)
+    fitted = gw.fit_anchors(rows, u, u.where("unit % 4 = 0"), list(FEATURES), CLASSES, 8, 0.5, 0.01)
+    p = gw.predict(rows, gw.nearest_coefficients(u, fitted), list(FEATURES), CLASSES)
+    return p.groupBy("unit").agg(*[F.avg(F.col("prob")[j]).alias(f"p_{c}") for j, c in enumerate(CLASSES)])

@@ -130,6 +130,7 @@ class Model:
             return out
         if self.kind == "fixed_clusters":  # one cluster a row: its coefficients are picked, not all clusters mixed
             own = F.array_position(F.array(*[F.lit(c) for c in self.fixed]), F.col(cluster).cast("string"))
+            own = F.when(own > 0, own).otherwise(F.raise_error("unknown fixed cluster").cast("long"))
             table = F.array(*[F.array(*[F.lit(float(b)) for row in c for b in row]) for c in self.coef])
             out = out.withColumn("_own", F.element_at(table, own.cast("int")))
             q = len(self.features) + 1

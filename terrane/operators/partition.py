@@ -1,8 +1,13 @@
 """Estimated spatial clusters: alternation of local fits and a sequential label sweep.
 
 Row work is Spark's: one projection and one aggregation give every unit's log-likelihood
-under every cluster; a grouped map fits the clusters. The sweep itself is sequential, so
-that a unit sees the moves of those before it; it works on units by clusters, in numpy.
+under every cluster; passes of small sums fit all clusters (``distributed``). The sweep
+itself is sequential, so that a unit sees the moves of those before it; it works on units
+by clusters, in numpy: the driver holds that and the edges, a few hundred bytes a unit.
+
+In "sum" scale features are standardised once over all rows and a cluster's penalty is the
+same whatever its members, so that each step can only raise the objective; in "mean" scale
+each cluster standardises its own rows and scales the penalty with them.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import graph, solver
+from terrane.operators import distributed, graph, solver
 
 
 @dataclass(frozen=True)
@@ -54,23 +59,83 @@ class Fit:
     logpl: float = 0.0
 
 
-def sweep(ll: np.ndarray, label: np.ndarray, neighbours: list[list[tuple[int, float]]], phi: float, counts: np.ndarray, control: Control) -> int:
-    """One pass over units in order; each moves to the feasible cluster of most gain, at once. Returns the moves.
+Neighbours = list[list[tuple[int, float]]]
 
-    counts: class counts of each unit. Only the cluster that a unit leaves can become infeasible."""
-    groups = ll.shape[1]
-    support = np.zeros((len(label), groups))
+
+def supports(label: np.ndarray, neighbours: Neighbours, groups: int) -> np.ndarray:
+    out = np.zeros((len(label), groups))
     for i, near in enumerate(neighbours):
         for j, w in near:
-            support[i, label[j]] += w
+            out[i, label[j]] += w
+    return out
+
+
+def log_sum(a: np.ndarray) -> np.ndarray:
+    m = a.max(-1, keepdims=True)
+    return (m + np.log(np.exp(a - m).sum(-1, keepdims=True)))[..., 0]
+
+
+def pseudo_loglik(support: np.ndarray, label: np.ndarray, phi: float) -> float:
+    a = phi * support
+    return float((a[np.arange(len(label)), label] - log_sum(a)).sum())
+
+
+def pseudo_change(u: int, support: np.ndarray, label: np.ndarray, near: list[tuple[int, float]], phi: float) -> np.ndarray:
+    """Of unit u's move to every cluster: its own term, and those of its neighbours, whose support the move changes."""
+    groups, old = support.shape[1], label[u]
+    out = phi * (support[u] - support[u, old])
+    if near:
+        j, w = np.array([x for x, _ in near]), np.array([x for _, x in near])
+        new = np.repeat(support[j][:, None], groups, 1)  # neighbour, target, cluster
+        new[:, :, old] -= w[:, None]
+        new[:, np.arange(groups), np.arange(groups)] += w[:, None]
+        mine = np.take_along_axis(new, label[j][:, None, None], 2)[:, :, 0] - support[j, label[j]][:, None]
+        out = out + (phi * mine - (log_sum(phi * new) - log_sum(phi * support[j])[:, None])).sum(0)
+    out[old] = 0
+    return out
+
+
+def estimated_phi(support: np.ndarray, label: np.ndarray, top: float = 20.0) -> float:
+    """Maximum of the concave log pseudo-likelihood within [0, top]: Newton steps within a shrinking bracket."""
+
+    def slopes(phi: float) -> tuple[float, float]:
+        a = phi * support
+        p = np.exp(a - log_sum(a)[:, None])
+        mean = (p * support).sum(1)
+        return float((support[np.arange(len(label)), label] - mean).sum()), float(((p * support**2).sum(1) - mean**2).sum())
+
+    low, high = 0.0, top
+    if slopes(low)[0] <= 0:
+        return low
+    if slopes(high)[0] >= 0:
+        return high
+    phi = 1.0
+    for _ in range(200):
+        score, information = slopes(phi)
+        low, high = (phi, high) if score > 0 else (low, phi)
+        step = phi + score / information if information > 1e-300 else (low + high) / 2
+        new = step if low < step < high else (low + high) / 2
+        if abs(new - phi) < 1e-10:
+            return new
+        phi = new
+    return phi
+
+
+def sweep(ll: np.ndarray, label: np.ndarray, neighbours: Neighbours, phi: float, counts: np.ndarray, control: Control, order: np.ndarray | None = None) -> int:
+    """One pass over units in order; each moves to the feasible cluster of most gain, at once. Returns the moves.
+
+    counts: class counts of each unit. Only the cluster that a unit leaves can become infeasible. The label's part of the
+    gain is phi times the support gained, or, with phi_update "pl", the change of the log pseudo-likelihood."""
+    groups = ll.shape[1]
+    support = supports(label, neighbours, groups)
     size = np.bincount(label, minlength=groups)
     mass = np.stack([counts[label == g].sum(0) for g in range(groups)])
     moves = 0
-    for u in range(len(label)):
+    for u in range(len(label)) if order is None else order:
         old = label[u]
-        gain = ll[u] - ll[u, old] + phi * (support[u] - support[u, old])
         if size[old] - 1 < control.min_units or (mass[old] - counts[u] < control.min_per_class).any():
             continue
+        gain = ll[u] - ll[u, old] + (pseudo_change(u, support, label, neighbours[u], phi) if control.phi_update == "pl" else phi * (support[u] - support[u, old]))
         new = int(np.argmax(gain))
         if new == old or gain[new] <= 1e-10:
             continue
@@ -84,24 +149,21 @@ def sweep(ll: np.ndarray, label: np.ndarray, neighbours: list[list[tuple[int, fl
     return moves
 
 
-def fit_groups(rows: DataFrame, labels: pd.DataFrame, features: list[str], classes: tuple[str, ...], control: Control, total: int, groups: int) -> list[solver.Engine]:
-    """Local engines, one grouped-map task a cluster. In sum mode the penalty of a cluster is kappa / its rows."""
-    code = {c: i for i, c in enumerate(classes)}
-    kappa = control.lam * total / groups
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(float)
-        lam = kappa / len(x) if control.lambda_scale == "sum" else control.lam
-        e = solver.fit(x, pdf["y"].map(code).to_numpy(), classes, control.alpha, lam, control.grouped)
-        return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "coef": [e.coef.ravel()], "scale": [e.scale], "lam": [lam], "edf": [solver.effective_df(e, x)], "ok": [e.converged]})
-
-    spark = rows.sparkSession
-    where = spark.createDataFrame(labels, "unit long, g int")
-    got = rows.join(where, "unit").groupBy("g").applyInPandas(work, "g int, coef array<double>, scale array<double>, lam double, edf double, ok boolean").toPandas()  # one row a cluster
-    out = []
-    for r in got.sort_values("g").itertuples():
-        out.append((solver.Engine(np.array(r.coef).reshape(len(classes), -1), classes, control.alpha, r.lam, np.array(r.scale), control.grouped, r.ok), r.edf))
-    return out
+def fit_groups(rows: DataFrame, names: list, label: np.ndarray, features: list[str], classes: tuple[str, ...], control: Control, total: int, groups: int, unit_rows: np.ndarray | None, whole: tuple[np.ndarray, np.ndarray], start: list[solver.Engine] | None) -> list[tuple[solver.Engine, float]]:
+    """Engines of all clusters and their degrees of freedom. In sum scale the penalty of a cluster's mean loss is kappa / its rows."""
+    places = distributed.Places(names, label)
+    if control.lambda_scale == "sum":
+        size = np.bincount(label, weights=unit_rows, minlength=groups)
+        lams = control.lam * total / groups / np.maximum(size, 1)
+        center, scale = (np.tile(v, (groups, 1)) for v in whole)
+    else:
+        lams = np.full(groups, control.lam)
+        where = rows.sparkSession.createDataFrame([(int(u), int(g)) for u, g in zip(names, label)], "unit long, g int")
+        own = rows.join(where, "unit").groupBy("g").agg(*[f(c) for c in features for f in (F.avg, F.stddev_pop)]).orderBy("g").collect()  # one row a cluster
+        center = np.array([r[1::2] for r in own], float)
+        scale = np.array([r[2::2] for r in own], float)
+        scale = np.where(scale <= 1e-12, 1.0, scale)
+    return distributed.fit(rows, places, groups, features, classes, control.alpha, lams, control.grouped, center, scale, start)
 
 
 def unit_loglik(rows: DataFrame, engines: list[solver.Engine], features: list[str], classes: tuple[str, ...]) -> DataFrame:
@@ -128,29 +190,39 @@ def fit_partition(rows: DataFrame, units: DataFrame, features: list[str], classe
     neighbours: list[list[tuple[int, float]]] = [[] for _ in names]
     for i, j, w in edge.itertuples(index=False):
         neighbours[place[i]].append((place[j], w))
-    total, phi, trace = rows.count(), control.phi, []
+    sizes = {r["unit"]: r["count"] for r in rows.groupBy("unit").count().collect()}  # one row a unit
+    n_u = np.array([sizes.get(u, 0) for u in names], float)
+    total, phi, trace, engines = int(n_u.sum()), control.phi, [], None
+    whole = distributed.standards(rows, features)
     for step in range(control.max_iter + 1):
-        fitted = fit_groups(rows, pd.DataFrame({"unit": names, "g": label}), features, classes, control, total, groups)
+        fitted = fit_groups(rows, names, label, features, classes, control, total, groups, n_u, whole, engines)
         engines = [e for e, _ in fitted]
-        table = unit_loglik(rows, engines, features, classes).toPandas().set_index("unit").loc[names]
+        table = unit_loglik(rows, engines, features, classes).toPandas().set_index("unit").reindex(names).fillna(0.0)
         ll = table[[f"ll_{g}" for g in range(groups)]].to_numpy()
         counts = table[[f"n_{i}" for i in range(len(classes))]].to_numpy()
-        n_u = table["n"].to_numpy()
+
+        def label_term() -> float:
+            support = supports(label, neighbours, groups)
+            return pseudo_loglik(support, label, phi) if control.phi_update == "pl" else phi * float(support[np.arange(len(label)), label].sum()) / 2
 
         def objective() -> float:
-            bonus = sum(w for i, near in enumerate(neighbours) for j, w in near if label[i] == label[j]) / 2
             size = np.bincount(label, weights=n_u, minlength=groups)
-            return float(ll[np.arange(len(label)), label].sum() + phi * bonus - sum(s * e.lam * e.penalty() for s, e in zip(size, engines)))
+            # in sum scale a cluster's rows times its penalty are kappa, whoever its members are
+            weight = np.full(groups, control.lam * total / groups) if control.lambda_scale == "sum" else size * control.lam
+            return float(ll[np.arange(len(label)), label].sum() + label_term() - sum(w * e.penalty() for w, e in zip(weight, engines)))
 
         trace.append(objective())
         if step == control.max_iter or not sweep(ll, label, neighbours, phi, counts, control):
             break
-        if control.lambda_scale == "mean":
-            trace.append(objective())
+        if control.phi_update == "pl":
+            phi = estimated_phi(supports(label, neighbours, groups), label)
+        trace.append(objective())
     rows.unpersist()
     own = ll[np.arange(len(label)), label]
-    bonus = sum(w for i, near in enumerate(neighbours) for j, w in near if label[i] == label[j]) / 2
-    return Fit(engines, names, label, np.bincount(label, weights=own, minlength=groups), np.bincount(label, weights=n_u, minlength=groups), np.array([d for _, d in fitted]), trace, phi, bonus)
+    support = supports(label, neighbours, groups)
+    bonus = float(support[np.arange(len(label)), label].sum()) / 2
+    logpl = pseudo_loglik(support, label, phi)
+    return Fit(engines, names, label, np.bincount(label, weights=own, minlength=groups), np.bincount(label, weights=n_u, minlength=groups), np.array([d for _, d in fitted]), trace, phi, bonus, logpl)
 
 
 def criteria(loglik: np.ndarray, rows: np.ndarray, units: np.ndarray, edf: np.ndarray, classes: int, predictors: int, gamma: float = 1.0, logpl: float = 0.0, label_df: int = 0) -> dict[str, float]:

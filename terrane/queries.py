@@ -579,37 +579,6 @@ def a15_criteria(spark, d):
     return spark.createDataFrame([tuple(map(bool, row))], "weighted_n boolean, finite boolean, ordered boolean")
 
 
-@query("SELECT true AS stationary, true AS sums_to_one, true AS shrinks")
-def m05_elastic_net(spark, d):
-    """A grouped fit on per-supplier means, its optimality, and that more penalty shrinks it."""
-    import numpy as np
-
-    from terrane.operators import solver
-
-    v = fx.table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(6)]).where("vec_id < 2000 AND label < 4").toPandas()
-    x, y, classes = v[[f"v{i}" for i in range(6)]].to_numpy(), v["label"].to_numpy(int), ("0", "1", "2", "3")
-    e, more = solver.fit(x, y, classes, 0.6, 0.01), solver.fit(x, y, classes, 0.6, 0.05)
-    z = (x - x.mean(0)) / e.scale
-    g = (e.predict(x) - np.eye(4)[y]).T @ z / len(y) + 0.01 * 0.4 * e.coef[:, 1:] * e.scale
-    b = e.coef[:, 1:] * e.scale
-    norm = np.sqrt((b**2).sum(0))
-    worst = max([np.abs(g[:, j] + 0.006 * b[:, j] / norm[j]).max() if norm[j] > 0 else max(0.0, np.sqrt((g[:, j] ** 2).sum()) - 0.006) for j in range(6)])
-    row = (worst < 1e-5, np.abs(e.predict(x).sum(1) - 1).max() < 1e-12, more.penalty() <= e.penalty() and more.active() <= e.active())
-    return spark.createDataFrame([tuple(map(bool, row))], "stationary boolean, sums_to_one boolean, shrinks boolean")
-
-
-@query("SELECT true AS bounded, true AS falls")
-def m12_effective_df(spark, d):
-    import numpy as np
-
-    from terrane.operators import solver
-
-    v = fx.table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)]).where("vec_id < 2000 AND label < 3").toPandas()
-    x, y, classes = v[[f"v{i}" for i in range(4)]].to_numpy(), v["label"].to_numpy(int), ("0", "1", "2")
-    df = [solver.effective_df(solver.fit(x, y, classes, 0.0, lam), x) for lam in (0.0, 0.01, 0.1, 1.0)]
-    return spark.createDataFrame([(bool(0 <= min(df) and max(df) <= 2 * 5 + 1e-6), bool((np.diff(df) <= 1e-6).all()))], "bounded boolean, falls boolean")
-
-
 _PEN = "WITH c AS (SELECT g, j, t, ((7 * t + 3 * j + 5 * g) % 11 - 5) / 10.0::DOUBLE AS b FROM (SELECT unnest([1,2,3]) g), (SELECT unnest([0,1,2]) j), (SELECT unnest([0,1,2,3]) t))"
 
 
@@ -654,38 +623,6 @@ def m30_predict_mixture(spark, d):
     return rounded(fx.predicted(spark, d).groupBy("stratum", "yhat").agg(F.count("*").alias("n"), *[F.avg(p).alias(p) for p in PROBS]), *PROBS)
 
 
-def _small(spark, d):
-    """The first 40 units of the derived tables with a bounded number of rows each, for local fits."""
-    u = fx.units(spark, d).where("unit < 40")
-    rows = fx.obs(spark, d).where("unit < 40").selectExpr("unit", "y", "x1 / 50 z1", "x2 * 10 z2", "x3 * 10 z3")
-    return u, rows
-
-
-@query("SELECT true AS all_units, true AS sums_to_one")
-def m25_gw_predict(spark, d):
-    from terrane.operators import gw
-
-    u, rows = _small(spark, d)
-    model = gw.fit_anchors(rows, u, u.where("unit % 4 = 0"), ["z1", "z2", "z3"], CLASSES, 8, 0.5, 0.01).cache()
-    p = gw.predict(rows, gw.nearest_coefficients(u, model), ["z1", "z2", "z3"], CLASSES)
-    total = F.aggregate("prob", F.lit(0.0), lambda a, b: a + b)
-    n = u.count()
-    return p.agg((F.countDistinct("unit") == n).alias("all_units"), F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"))
-
-
-@query("SELECT true AS centred, true AS whole")
-def m24_local_coefficients(spark, d):
-    from terrane.operators import gw
-
-    u, rows = _small(spark, d)
-    coef = gw.nearest_coefficients(u, gw.fit_anchors(rows, u, u.where("unit % 3 = 0"), ["z1", "z2", "z3"], CLASSES, 10, 0.2, 0.05, False, False))
-    ok = F.lit(True)
-    for t in range(4):
-        ok = ok & (F.abs(sum((F.col("coef")[j * 4 + t] for j in range(3)), F.lit(0.0))) < 1e-9)
-    n = u.count()
-    return coef.agg(F.bool_and(ok).alias("centred"), (F.count("*") == n).alias("whole"))
-
-
 _GWK = ", k AS (SELECT i, j, d2, max(d2) OVER (PARTITION BY i) m FROM nn)"
 
 
