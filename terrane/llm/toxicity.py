@@ -6,15 +6,20 @@ only take up room; three or more one-letter words in a row make one unit. Long u
 read in overlapping windows. The kernel sums over common subsequences of three symbols,
 with ``DECAY`` for every place they span, so that gaps and inserted characters weaken a
 match and don't break it; it is normalised by both units' own values. A document's score
-is that of its most toxic unit, through a logistic curve fitted on labelled documents.
+is a logistic curve, fitted on labelled documents, of the values of its two most toxic
+units that don't overlap: what also turns up alone in clean texts needs a second one.
 
 Training needs no word list. Of a bounded sample of labelled documents (``TOXIC`` with
 label 1 and ``CLEAN`` with 0, by a hash of their id, held-out rows never) each passes its
-label to its sentences: units that occur in several toxic documents that aren't copies of
-each other are positive if, over the whole training part, toxic documents have them at
-least ``RATIO`` times as often as clean ones, by the lower end of an interval of ``Z``
-standard errors; other units of clean documents are negative, the hardest added in rounds. A support vector machine with
-squared hinge is solved by Newton steps on the Nystroem features K(x, L) K(L, L)^-1/2.
+label to its sentences, and a sentence is represented by its most toxic unit, its witness.
+Witnesses to start from are units that occur in several toxic documents that aren't copies
+of each other and that, over the whole training part, toxic documents have at least ``RATIO``
+times as often as clean ones, by the lower end of an interval of ``Z`` standard errors. A
+support vector machine with squared hinge is solved by Newton steps on the Nystroem features
+K(x, L) K(L, L)^-1/2 of the witnesses of toxic sentences against units of clean ones, and
+then chooses the witnesses anew, and the hardest clean units, in ``ROUNDS`` rounds. A toxic
+document's sentence without a unit above zero is left out: its label is due to others.
+A unit on both sides is a row on both, the clean one weighted by the ratio of its rates.
 
 Its decision is linear in the subsequence weights, so the landmarks collapse to one table
 of SYMBOLS^3 weights, and a unit costs one look-up for each of its triples: the same
@@ -49,7 +54,7 @@ LANDMARKS, NEGATIVES, ROUNDS = 200, 3000, 3
 #: and from which on it needs no document of its own to explain.
 SHARE, OFTEN = 0.002, 0.05
 #: Least ratio of a positive unit's rate in toxic documents to that in clean ones, and the standard errors below its estimate.
-RATIO, Z = 3.0, 1.64
+RATIO, Z = 3.0, 2.3
 CACHE = 1 << 20
 FOLDS, HELD = 3, 1
 
@@ -152,7 +157,7 @@ def normalised(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Scorer:
     """Weights of triples, offset and logistic curve; and a cache of units' values."""
 
-    def __init__(self, weights: np.ndarray, offset: float, slope: float = 1.0, shift: float = 0.0) -> None:
+    def __init__(self, weights: np.ndarray, offset: float, slope: tuple[float, float] = (1.0, 0.0), shift: float = 0.0) -> None:
         self.weights, self.offset, self.slope, self.shift = weights, offset, slope, shift
         self._reset()
 
@@ -202,15 +207,22 @@ class Scorer:
         return self.values[slot]
 
     def most(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """The greatest value among each text's units, -2 without any."""
+        """The greatest value among each text's units and the greatest of those that don't overlap it, within -1 and 1; -1 without any."""
         data, starts, ends, doc = units(data, offs)
-        out = np.full(len(offs) - 1, -2.0)
+        out = np.full((len(offs) - 1, 2), -1.0)
         if len(doc):
-            np.maximum.at(out, doc, self.values_of(data, starts, ends))
+            value = np.clip(self.values_of(data, starts, ends), -1, 1)
+            order = np.lexsort((starts, -value, doc))
+            first = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]
+            out[doc[first], 0] = value[first]
+            top = np.zeros(len(offs) - 1, np.int64)
+            top[doc[first]] = first
+            apart = (ends <= starts[top[doc]]) | (starts >= ends[top[doc]])
+            np.maximum.at(out[:, 1], doc[apart], value[apart])
         return out
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.most(lower_ascii(data), offs) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.most(lower_ascii(data), offs) @ np.array(self.slope) + self.shift, -40, 40)))
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
@@ -227,28 +239,50 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, flo
     return w[:-1], float(w[-1])
 
 
-def fit(positive: list[bytes], pool: list[bytes]) -> Scorer:
-    """The machine for positive units against a pool of negative ones."""
+def fit(positive: list[bytes], toxic: list[list[list[bytes]]], clean: list[list[list[bytes]]]) -> Scorer:
+    """The machine from documents as sentences of units, toxic and clean; positive: the witnesses to start from."""
     rng = np.random.default_rng(5)
+    docs_with = [Counter(u for doc in docs for u in {u for s in doc for u in s}) for docs in (toxic, clean)]
+    vocabulary, pool = sorted(docs_with[0]), sorted(docs_with[1])
+    number = {u: k for k, u in enumerate(vocabulary)}
+    sentences = [s for doc in toxic for s in doc if s]
+    flat = np.array([number[u] for s in sentences for u in s], np.int64)
+    heads = np.cumsum([0, *map(len, sentences)])[:-1]
+    of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    value = np.full(len(vocabulary), -1.0)
+    for k, u in enumerate(positive):
+        value[number[u]] = 1 / (1 + k)
     chosen = set(rng.choice(len(pool), min(NEGATIVES, len(pool)), replace=False).tolist())
-    half = positive[: LANDMARKS * 2 // 3]
     scorer = None
     for _ in range(ROUNDS):
-        negative = [pool[i] for i in sorted(chosen)]
-        hard = negative
+        best = np.maximum.reduceat(value[flat], heads)
+        at = np.flatnonzero((value[flat] == best[of]) & (best[of] > 0))
+        at = at[np.r_[True, of[at][1:] != of[at][:-1]]] if len(at) else at
+        count = np.bincount(flat[at], minlength=len(vocabulary))  # sentences that a unit is the witness of
+        own = np.flatnonzero(count)
+        own = own[np.argsort(-count[own], kind="stable")]
+        witness = [vocabulary[k] for k in own]
+        negative = sorted({pool[i] for i in chosen} | (set(witness) & set(pool)))
+        both = set(witness)
+        hard = [u for u in negative if u not in both]
         if scorer is not None:
-            hard = [negative[i] for i in np.argsort(-_values(scorer, negative), kind="stable")]
+            hard = [hard[i] for i in np.argsort(-_values(scorer, hard), kind="stable")]
+        half = witness[: LANDMARKS * 2 // 3]
         marks = rows_of(half + hard[: LANDMARKS - len(half)])
         gram = normalised(marks, marks).astype(np.float64)
-        value, vector = np.linalg.eigh(gram)
-        root = vector / np.sqrt(np.maximum(value, 1e-6)) * (value > 1e-6) @ np.eye(len(value))
-        x = normalised(rows_of(positive + negative), marks) @ root
-        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        cost = np.where(y > 0, len(y) / max(1, len(positive)), len(y) / max(1, len(negative))) / 2
-        w, offset = svm(x, y, cost)
+        w, vector = np.linalg.eigh(gram)
+        root = vector / np.sqrt(np.maximum(w, 1e-6)) * (w > 1e-6) @ np.eye(len(w))
+        x = normalised(rows_of(witness + negative), marks) @ root
+        y = np.r_[np.ones(len(witness)), -np.ones(len(negative))]
+        p = 1 + np.log(count[own])
+        p *= len(y) / 2 / p.sum()
+        mass = dict(zip(witness, p))
+        rate = lambda u: docs_with[1][u] / len(clean) / (docs_with[0][u] / len(toxic))
+        n = np.array([mass[u] * min(1.0, rate(u)) if u in both else len(y) / 2 / max(1, len(hard)) for u in negative])
+        w, offset = svm(x, y, np.r_[p, n])
         scorer = Scorer(collapsed(marks, root @ w), offset)
-        order = np.argsort(-_values(scorer, pool), kind="stable")[: NEGATIVES // 2]
-        chosen |= set(order.tolist())
+        chosen |= set(np.argsort(-_values(scorer, pool), kind="stable")[: NEGATIVES // 2].tolist())
+        value = _values(scorer, vocabulary)
     return scorer
 
 
@@ -269,11 +303,17 @@ def collapsed(marks: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def _distinct_units(text: str | None) -> list[bytes]:
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    data, starts, ends, _ = units(lower_ascii(raw), np.array([0, len(raw)]))
+def sentences_of(text: str | None) -> list[list[bytes]]:
+    """Units of each sentence: up to a line's end or a stop before white space."""
+    raw = lower_ascii(np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8))
+    stop, space = np.isin(raw, np.frombuffer(b".!?", np.uint8)), np.isin(raw, np.frombuffer(b" \t\r\n", np.uint8))
+    cuts = np.flatnonzero((raw == 10) | (stop & np.r_[space[1:], False][: len(raw)])) + 1
+    data, starts, ends, doc = units(raw, np.unique(np.r_[0, cuts, len(raw)]) if len(raw) else np.zeros(2, np.int64))
+    out: dict[int, dict[bytes, None]] = defaultdict(dict)
     b = data.tobytes()
-    return list(dict.fromkeys(b[s:e] for s, e in zip(starts.tolist(), ends.tolist())))
+    for k, s, e in zip(doc.tolist(), starts.tolist(), ends.tolist()):
+        out[k][b[s:e]] = None
+    return [list(out[k]) for k in sorted(out)]
 
 
 def held_out(id_col: str = "doc_id"):
@@ -283,7 +323,7 @@ def held_out(id_col: str = "doc_id"):
 def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     """The scorer from labelled documents that aren't held out."""
     small_batches(docs.sparkSession)
-    flat = Scorer(np.zeros(SYMBOLS**3, np.float32), 0.0, 0.0, -40.0)
+    flat = Scorer(np.zeros(SYMBOLS**3, np.float32), 0.0, (0.0, 0.0), -40.0)
     # ids first and then the texts of a bounded number of them, so that no text is shuffled
     label = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
@@ -292,7 +332,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     toxic, clean = ([t for i, t in texts if chosen[i] == y] for y in (1, 0))
     if not toxic or not clean:
         return flat
-    toxic_units, clean_units = [_distinct_units(t) for t in toxic], [_distinct_units(t) for t in clean]
+    toxic_sentences, clean_sentences = [sentences_of(t) for t in toxic], [sentences_of(t) for t in clean]
+    toxic_units, clean_units = ([list(dict.fromkeys(u for s in doc for u in s)) for doc in docs_] for docs_ in (toxic_sentences, clean_sentences))
     # copies of one document count once: they share the least of a few hashes of their units
     group: dict[tuple[int, int], int] = {}
     owner = []
@@ -317,9 +358,11 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     positive = list(dict.fromkeys(explaining(candidates, toxic_units) + often))
     if not positive:
         return flat
-    scorer = fit(positive, sorted(set(n_clean) - set(positive)))
-    value = np.array([max([-2.0, *_values(scorer, own)]) if own else -2.0 for own in toxic_units + clean_units])
-    scorer.slope, scorer.shift = logistic(value, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    scorer = fit(positive, toxic_sentences, clean_sentences)
+    buffers = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in toxic + clean]
+    value = np.concatenate([scorer.most(lower_ascii(b), np.array([0, len(b)])) for b in buffers])
+    *slope, scorer.shift = logistic(value, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    scorer.slope = tuple(slope)
     return scorer
 
 
@@ -376,17 +419,17 @@ def _occurrences(docs: DataFrame, labels: DataFrame, candidates: list[bytes]) ->
     return Counter({(candidates[r["unit"]], r["toxic"]): r["n"] for r in n.collect()})
 
 
-def logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of P(y = 1), by Newton steps with a weak prior."""
-    z, w = np.c_[value, np.ones(len(value))], np.zeros(2)
+def logistic(value: np.ndarray, y: np.ndarray) -> list[float]:
+    """Slope of each column and shift of P(y = 1), by Newton steps with a weak prior."""
+    z, w = np.c_[value, np.ones(len(value))], np.zeros(value.shape[1] + 1)
     cost = np.where(y > 0, len(y) / max(1, (y > 0).sum()), len(y) / max(1, (y == 0).sum())) / 2
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (cost * p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(2), z.T @ (cost * (p - y)) + 0.05 * w)
+        step = np.linalg.solve((z * (cost * p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(len(w)), z.T @ (cost * (p - y)) + 0.05 * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return [float(v) for v in w]
 
 
 def scored(docs: DataFrame, scorer: Scorer, text: str = "text", score: str = "score") -> DataFrame:

@@ -584,6 +584,29 @@ def test_toxicity_bears_noise_in_clean_labels(spark):
     assert len(wrong) <= 6
 
 
+def test_toxicity_weighs_a_second_unit(spark):
+    """A word that clean texts hold once, and toxic ones twice or more, is toxic only with a second one apart from it."""
+    rng = np.random.default_rng(13)
+    rows, labels = [], []
+    for i in range(600):
+        w = prose(rng, ["er", "th", "an", "in", "on", "re", "ti", "es", "or", "nd"], 60).split()
+        for at in rng.choice(60, 3 if i % 5 == 0 else int(i % 5 == 1), replace=False).tolist():
+            w[at] = "achlich"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    got = by_id(toxicity.op1(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")), "held_out", "predicted")
+    assert sum(got[i][1] != y for i, y in labels if got[i][0]) <= 4
+
+
+def test_toxicity_sentences_and_two_most_toxic_units():
+    assert toxicity.sentences_of("One word. two! i d i o t\nfour") == [[b"one", b"word"], [b"two"], [b"idiot"], [b"four"]]
+    assert toxicity.sentences_of(None) == toxicity.sentences_of("...") == []
+    scorer = toxicity.Scorer(toxicity.collapsed(toxicity.rows_of([b"idiot"]), np.array([1.0])), 0.0)
+    texts = [b"idiot and idiot", b"idiot and", b"", b"xidiotx"]
+    top = scorer.most(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(top[0], 1, atol=1e-4) and top[1, 0] > 0.99 and top[1, 1] < 0.2 and (top[2] == -1).all() and 0.5 < top[3, 0] < 1 and top[3, 1] == -1
+
+
 def test_pipeline_columns(spark, tmp_path):
     import corpus_pipeline as cp
 
