@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,73 +38,143 @@ def carry_forward(panel: DataFrame, fallback: Column) -> DataFrame:
     return panel.withColumn("carried", F.coalesce(F.last("y", ignorenulls=True).over(by), fallback))
 
 
-def filter_states(rows: DataFrame, transition: str, n: int, initial: list[float], restart: bool = True) -> DataFrame:
-    """(unit, t, prob): the forward filter a <- P_t a, normalised, of each gapless segment.
+def by_unit(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work on chunks of whole units, in order of unit and t: one shuffle by unit, and a chunk is an Arrow
+    batch or one unit's rows, if those are more."""
 
-    rows: unit, t and transition, an array of n * n doubles, to-class by from-class. Rows of a
-    segment meet in one array in order of time, and a fold carries the state through them."""
-    seg = segments(rows) if restart else rows.withColumn("segment", F.lit(1))
-    ordered = seg.groupBy("unit", "segment").agg(F.array_sort(F.collect_list(F.struct("t", F.col(transition).alias("m")))).alias("steps"))
-    start = F.struct(F.array(*[F.lit(float(x)) for x in initial]).alias("a"), F.expr(f"cast(array() as array<struct<t: bigint, a: array<double>>>)").alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last unit, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = batch.column("unit")
+            head = unit.index(unit[batch.num_rows - 1]).as_py()
+            if held and (head or held[-1].column("unit")[0] != unit[0]):
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, head)]))
+                held = []
+            elif head:
+                yield from work(pa.Table.from_batches([batch.slice(0, head)]))
+            held.append(batch.slice(head))
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return rows.repartition("unit").sortWithinPartitions("unit", "t").mapInArrow(run, schema)
+
+
+def _chunk(table: pa.Table, arrays: list[str], restart: bool = True) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts and lengths of the segments, longest first, and the array columns as matrices."""
+    unit, t = table.column("unit").to_numpy(), table.column("t").to_numpy()
+    new = unit[1:] != unit[:-1]
+    starts = np.flatnonzero(np.r_[True, new | (np.diff(t) != 1) if restart else new])
+    size = np.diff(np.r_[starts, len(unit)])
+    order = np.argsort(-size, kind="stable")
+    flat = [table.column(c).combine_chunks() for c in arrays]
+    return starts[order], size[order], [(f.chunk(0) if isinstance(f, pa.ChunkedArray) else f).flatten().to_numpy().reshape(len(unit), -1) for f in flat]
 
-    def step(acc: Column, x: Column) -> Column:
-        rows_ = [sum((x.m[i * n + j] * acc.a[j] for j in range(n)), F.lit(0.0)) for i in range(n)]
-        scaled = F.transform(F.array(F.struct(F.array(*rows_).alias("v"))), lambda s: F.transform(s.v, lambda e: e / F.aggregate(s.v, F.lit(0.0), lambda p, q: p + q)))[0]
-        return F.transform(F.array(F.struct(scaled.alias("a"))), lambda s: F.struct(s.a.alias("a"), F.concat(acc.out, F.array(F.struct(x.t.alias("t"), s.a.alias("a")))).alias("out")))[0]
 
-    done = ordered.select("unit", F.explode(F.aggregate("steps", start, step, lambda acc: acc.out)).alias("r"))
-    return done.select("unit", "r.t", F.col("r.a").alias("prob"))
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+
+def filter_states(rows: DataFrame, transition: str, n: int, initial: list[float], restart: bool = True) -> DataFrame:
+    """(unit, t, prob): the forward filter a <- P_t a, normalised, of each gapless segment (of each unit without restart).
+
+    rows: unit, t and transition, an array of n * n doubles, to-class by from-class. Segments of a
+    chunk go side by side, a time point at once."""
+    first = np.array(initial, float)
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts, size, (m,) = _chunk(table, [transition], restart)
+        p, out, a = m.reshape(-1, n, n), np.empty((len(m), n)), np.tile(first, (len(starts), 1))
+        for k in range(size[0]):
+            at = starts[: np.searchsorted(-size, -k, "left")] + k
+            b = np.einsum("sij,sj->si", p[at], a[: len(at)])
+            out[at] = a = b / b.sum(1, keepdims=True)
+        yield from pa.table({"unit": table.column("unit"), "t": table.column("t"), "prob": _lists(out)}).combine_chunks().to_batches()
+
+    types = dict(rows.dtypes)
+    return by_unit(rows.select("unit", "t", transition), work, f"unit {types['unit']}, t {types['t']}, prob array<double>")
+
+
+def forward(p: np.ndarray, initial: np.ndarray, evidence: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered states of all rows and log-likelihoods of the segments (longest first), side by side."""
+    out, loglik, a = np.empty_like(evidence), np.zeros(len(starts)), np.tile(initial, (len(starts), 1))
+    for k in range(size[0]):
+        at = starts[: np.searchsorted(-size, -k, "left")] + k
+        b = evidence[at] * np.einsum("sij,sj->si", p[at], a[: len(at)])
+        total = b.sum(1, keepdims=True)
+        out[at] = a = np.where(total > 0, b / np.where(total > 0, total, 1), 1 / b.shape[1])
+        loglik[: len(at)] += np.log(np.where(total > 0, total, TINY))[:, 0]
+    return out, loglik
+
+
+def backward(p: np.ndarray, evidence: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What comes after each row says of its state, scaled to one."""
+    out = np.ones_like(evidence)
+    for k in range(1, size[0]):
+        own = np.searchsorted(-size, -k, "left")
+        at = starts[:own] + size[:own] - 1 - k
+        b = np.einsum("sij,si->sj", p[at + 1], evidence[at + 1] * out[at + 1])
+        total = b.sum(1, keepdims=True)
+        out[at] = np.where(total > 0, b / np.where(total > 0, total, 1), 1 / b.shape[1])
+    return out
+
+
+def _evidence(seen: np.ndarray, c: int) -> np.ndarray:
+    return np.where(seen[:, None] >= 0, seen[:, None] == np.arange(c), True).astype(float)
+
+
+def _marginals(f: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = f * b
+    total = both.sum(1, keepdims=True)
+    return np.where(total > 0, both / np.where(total > 0, total, 1), 1 / f.shape[1])
 
 
 def forward_backward(p: np.ndarray, initial: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, float]:
     """Marginals (T, C) and log-likelihood of a chain: p[t, to, from], classes seen or -1."""
-    steps, c = p.shape[0], p.shape[1]
-    evidence = np.ones((steps, c))
-    known = seen >= 0
-    evidence[known] = 0
-    evidence[known, seen[known]] = 1
-    forward, back, loglik, a = np.empty((steps, c)), np.ones((steps, c)), 0.0, initial
-    for t in range(steps):
-        a = evidence[t] * (p[t] @ a)
-        total = a.sum()
-        if total > 0:
-            a, loglik = a / total, loglik + np.log(total)
-        else:
-            a, loglik = np.full(c, 1 / c), loglik + np.log(TINY)
-        forward[t] = a
-    for t in range(steps - 2, -1, -1):
-        b = p[t + 1].T @ (evidence[t + 1] * back[t + 1])
-        back[t] = b / b.sum() if b.sum() > 0 else 1 / c
-    both = forward * back
-    total = both.sum(1, keepdims=True)
-    return np.where(total > 0, both / np.where(total > 0, total, 1), 1 / c), float(loglik)
+    e, one = _evidence(seen, p.shape[1]), (np.zeros(1, np.int64), np.array([len(p)]))
+    f, loglik = forward(p, initial, e, *one)
+    return _marginals(f, backward(p, e, *one)), float(loglik[0])
 
 
 def impute(rows: DataFrame, transitions: list[str], classes: tuple[str, ...], initial: list[float], prior: list[float]) -> DataFrame:
     """(unit, t, prob, posterior): marginals of every row of the panel given all observed classes of its block,
     mixed over clusters by the block's posterior.
 
-    rows: block, unit, t, y (null where missing) and for each cluster a transition array. A block is
-    one group: its units share the cluster, and its rows fit a task."""
-    code = {c: i for i, c in enumerate(classes)}
-    n, start = len(classes), np.array(initial, float)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["unit", "t"])
-        seen = np.array([code.get(v, -1) for v in pdf["y"]])
-        cut = np.flatnonzero((pdf["unit"].to_numpy()[1:] != pdf["unit"].to_numpy()[:-1]) | (np.diff(pdf["t"].to_numpy()) != 1)) + 1
-        each, logs = [], np.log(np.maximum(np.array(prior, float), TINY))
-        for g, name in enumerate(transitions):
-            p = np.array(pdf[name].tolist()).reshape(-1, n, n)
-            parts = [forward_backward(x, start, s) for x, s in zip(np.split(p, cut), np.split(seen, cut))]
-            each.append(np.concatenate([m for m, _ in parts]))
-            logs[g] += sum(ll for _, ll in parts)
-        post = np.exp(logs - logs.max())
-        post /= post.sum()
-        mixed = np.tensordot(post, np.array(each), 1)
-        return pd.DataFrame({"unit": pdf["unit"], "t": pdf["t"], "prob": list(mixed), "posterior": [post] * len(pdf)})
-
-    return rows.groupBy("block").applyInPandas(work, "unit long, t long, prob array<double>, posterior array<double>")
+    rows: block, unit, t, y (null where missing) and for each cluster a transition array. Two passes over
+    chunks of units: likelihoods, summed by block in the engine, then marginals with the block's posterior."""
+    n, start, clusters = len(classes), np.array(initial, float), len(transitions)
+    types = dict(rows.dtypes)
+    code = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y")) - 1, F.lit(-1)).cast("long")
+    coded = rows.select("block", "unit", "t", code.alias("seen"), *transitions)
+
+    def chunk(table: pa.Table, extra: list[str]) -> tuple:
+        starts, size, arrays = _chunk(table, transitions + extra)
+        return starts, size, [a.reshape(-1, n, n) for a in arrays[:clusters]], _evidence(table.column("seen").to_numpy(), n), arrays[clusters:]
+
+    def likelihoods(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts, size, ps, e, _ = chunk(table, [])
+        block = table.column("block").combine_chunks().take(pa.array(starts))
+        each = {f"l{g}": pa.array(forward(p, start, e, starts, size)[1]) for g, p in enumerate(ps)}
+        summed = pa.table({"block": block, **each}).group_by("block").aggregate([(c, "sum") for c in each])
+        yield from summed.select(["block", *(f"{c}_sum" for c in each)]).rename_columns(["block", *each]).combine_chunks().to_batches()
+
+    logs = by_unit(coded, likelihoods, ", ".join([f"block {types['block']}", *(f"l{g} double" for g in range(clusters))]))
+    floor = [float(np.log(max(x, TINY))) for x in prior]
+    logs = logs.groupBy("block").agg(*[(F.sum(f"l{g}") + floor[g]).alias(f"l{g}") for g in range(clusters)])
+    top = F.greatest(*[F.col(f"l{g}") for g in range(clusters)]) if clusters > 1 else F.col("l0")
+    odds = [F.exp(F.col(f"l{g}") - top) for g in range(clusters)]
+    post = logs.select(F.col("block").alias("_block"), F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("posterior"))
+
+    def marginals(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts, size, ps, e, (weight,) = chunk(table, ["posterior"])
+        mixed = np.zeros_like(e)
+        for g, p in enumerate(ps):
+            mixed += weight[:, g : g + 1] * _marginals(forward(p, start, e, starts, size)[0], backward(p, e, starts, size))
+        yield from pa.table({"unit": table.column("unit"), "t": table.column("t"), "prob": _lists(mixed), "posterior": _lists(weight)}).combine_chunks().to_batches()
+
+    both = coded.join(post, F.col("block").eqNullSafe(F.col("_block"))).drop("_block")
+    return by_unit(both, marginals, f"unit {types['unit']}, t {types['t']}, prob array<double>, posterior array<double>")
 
 
 def plug_in(rows: DataFrame, transition: str, classes: tuple[str, ...], start: str) -> DataFrame:

@@ -504,16 +504,32 @@ def l04_forward_filter(spark, d):
     return f.select("unit", "t", *[F.round(F.col("prob")[j], 6).alias(f"p{j}") for j in range(5)])
 
 
-@query("SELECT true AS sums_to_one, true AS keeps_observed, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) FROM events)")
+def _impute_sql() -> str:
+    """Forward and backward recursions of both clusters, and their mixture by the block's posterior."""
+    r5, states = range(5), lambda c: ", ".join(f"{c}{j}" for j in range(5))
+    sums = lambda c: " + ".join(f"{c}{j}" for j in r5)
+    tr = "a AS (SELECT unit, t, block, CASE WHEN t % 4 <> 0 THEN y END AS y, x1 / 100 AS x1s FROM panel), b AS (SELECT *, " + ", ".join(f"{_TR[j][k]} AS l{j}_{k}" for j in r5 for k in r5) + " FROM a)"
+    seen = ", ".join(f"CASE WHEN y IS NULL OR y = '{c}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS e{j}" for j, c in enumerate(EVENTS))
+    tr += ", c0 AS (SELECT unit, t, block, " + seen + ", " + ", ".join(f"{c} AS m{i}" for i, c in enumerate(_transition_cols())) + " FROM b)"
+    tr += ", c AS (SELECT 0 AS g, * FROM c0 UNION ALL SELECT 1 AS g, unit, t, block, " + states("e") + ", " + ", ".join(f"m{i} * 0.5 + 0.1" for i in range(25)) + " FROM c0)"
+    tr += ", s AS MATERIALIZED (SELECT *, coalesce(t - lag(t) OVER w <> 1, true) AS restart, coalesce(lead(t) OVER w - t <> 1, true) AS final FROM c WINDOW w AS (PARTITION BY g, unit ORDER BY t))"
+    step = ", ".join(f"e{j} * ({' + '.join(f'm{j * 5 + k} * a{k}' for k in r5)}) AS b{j}" for j in r5)
+    norm = ", ".join(f"b{j} / ({sums('b')}) AS a{j}" for j in r5)
+    fwd = f"f AS (SELECT g, unit, t, ln({sums('b')}) AS ll, {norm} FROM (SELECT g, unit, t, {step} FROM (SELECT *, {', '.join(f'CAST(0.2 AS DOUBLE) AS a{k}' for k in r5)} FROM s WHERE restart)) UNION ALL SELECT g, unit, t, ln({sums('b')}), {norm} FROM (SELECT s.g, s.unit, s.t, {step} FROM s JOIN f ON f.g = s.g AND f.unit = s.unit AND f.t = s.t - 1 WHERE NOT s.restart))"
+    back = ", ".join("(" + " + ".join(f"m{j * 5 + k} * e{j} * z{j}" for j in r5) + f") AS b{k}" for k in r5)
+    scaled = ", ".join(f"b{j} / ({sums('b')}) AS z{j}" for j in r5)
+    bwd = f"k AS (SELECT g, unit, t, {', '.join(f'CAST(1 AS DOUBLE) AS z{j}' for j in r5)} FROM s WHERE final UNION ALL SELECT g, unit, t, {scaled} FROM (SELECT s.g, s.unit, s.t - 1 AS t, {back} FROM s JOIN k ON k.g = s.g AND k.unit = s.unit AND k.t = s.t WHERE NOT s.restart))"
+    post = "bl AS (SELECT block, g, sum(ll) AS ll FROM f JOIN s USING (g, unit, t) GROUP BY 1, 2), po AS (SELECT block, g, exp(ll - max(ll) OVER (PARTITION BY block)) AS o FROM bl), pw AS (SELECT block, g, o / sum(o) OVER (PARTITION BY block) AS w FROM po)"
+    both = " + ".join(f"a{j} * z{j}" for j in r5)
+    return f"{tr}, {fwd}, {bwd}, {post} SELECT unit, t, " + ", ".join(f"round(sum(w * a{j} * z{j} / ({both})), 6) AS p{j}" for j in r5) + ", round(max(CASE g WHEN 0 THEN w END), 6) AS first FROM f JOIN k USING (g, unit, t) JOIN s USING (g, unit, t) JOIN pw USING (block, g) GROUP BY 1, 2"
+
+
+@query(with_ctes("panel", ", " + _impute_sql()).replace("WITH panel", "WITH RECURSIVE panel"))
 def l05_impute_waves(spark, d):
+    """Every fourth wave masked: marginals of all rows, mixed over two clusters by the block's posterior."""
     rows = transition_rows(spark, d).withColumn("y", F.when(F.col("t") % 4 != 0, F.col("y"))).withColumn("m2", F.transform("m", lambda v: v * 0.5 + 0.1))
     out = panels.impute(rows, ["m", "m2"], EVENTS, [0.2] * 5, [0.5, 0.5])
-    j = out.join(rows.select("unit", "t", "y"), ["unit", "t"])
-    seen = F.lit(1.0)
-    for i, c in enumerate(EVENTS):
-        seen = F.when(F.col("y") == c, F.col("prob")[i]).otherwise(seen)
-    total = F.aggregate("prob", F.lit(0.0), lambda a, b: a + b)
-    return j.agg(F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"), F.bool_and(seen > 1 - 1e-9).alias("keeps_observed"), F.count("*").alias("n"))
+    return out.select("unit", "t", *[F.round(F.col("prob")[j], 6).alias(f"p{j}") for j in range(5)], F.round(F.col("posterior")[0], 6).alias("first"))
 
 
 @query(with_ctes("panel", ", s AS (SELECT y, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM panel GROUP BY 1) SELECT u.unit, s.y, round(CASE WHEN u.unit % 3 = 0 THEN CAST(s.y = 'view' AS INTEGER)::DOUBLE ELSE p END, 6) AS p FROM (SELECT DISTINCT unit FROM panel) u, s"))
@@ -697,8 +713,7 @@ def w02_panel_order(spark, d):
 
 @query(f"SELECT event_id, CAST({_rank_sql(31, 'event_id', 'event_type')} AS INTEGER) AS place FROM events")
 def w06_hashed_rank(spark, d):
-    by = W.partitionBy("event_type").orderBy(draw(31, "event_id"), "event_id")
-    return fx.events(spark, d).select("event_id", F.row_number().over(by).alias("place"))
+    return splits.ranked(fx.events(spark, d), "event_id", ("event_type",), 31).select("event_id", F.col("rank").cast("int").alias("place"))
 
 
 @query(with_ctes("panel", "SELECT unit, t, round(x2 - lag(x2) OVER (PARTITION BY unit ORDER BY t), 6) AS moved FROM panel"))
@@ -809,10 +824,7 @@ def m28_simultaneous_labels(spark, d):
 
 @query(f"SELECT event_id, rk <= least(n - 2, floor(CAST(0.3 AS DOUBLE) * n)) AND n >= 3 AS is_valid FROM (SELECT event_id, {_rank_sql(41, 'event_id', 'event_type')} AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM events)")
 def m33_holdout_split(spark, d):
-    by = W.partitionBy("event_type")
-    n, rk = F.count("*").over(by), F.row_number().over(by.orderBy(draw(41, "event_id"), "event_id"))
-    e = fx.events(spark, d).select("event_id", n.alias("n"), rk.alias("rk"))
-    return e.select("event_id", ((F.col("rk") <= F.least(F.col("n") - 2, F.floor(F.col("n") * 0.3))) & (F.col("n") >= 3)).alias("is_valid"))
+    return splits.holdout_split(fx.events(spark, d), "event_id", ("event_type",), 0.3, 41)
 
 
 @query(with_ctes("units edges support", ", w AS (SELECT unit, h, exp(2 * s) / sum(exp(2 * s)) OVER (PARTITION BY unit) AS p FROM support) SELECT w.unit, round(p, 6) AS own FROM w JOIN units u ON u.unit = w.unit AND u.g0 = w.h"))
