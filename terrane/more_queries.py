@@ -337,3 +337,96 @@ def m25_gw_predict(spark, d):
     fitted = gw.fit_anchors(rows, u, u.where("unit % 4 = 0"), list(FEATURES), CLASSES, 8, 0.5, 0.01)
     p = gw.predict(rows, gw.nearest_coefficients(u, fitted), list(FEATURES), CLASSES)
     return p.groupBy("unit").agg(*[F.avg(F.col("prob")[j]).alias(f"p_{c}") for j, c in enumerate(CLASSES)])
+
+
+_MOMENTS = "CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(avg(CASE WHEN y = '{c}' THEN {v} ELSE CAST(0 AS DOUBLE) END), 9) + 0.0::DOUBLE AS {c}_{t}" for c in CLASSES for t, v in (("share", "CAST(1 AS DOUBLE)"), ("z1", "x1 / 50"), ("z2", "x2 * 10"), ("z3", "x3 * 10")))
+
+
+def _moments(out, *keys):
+    """Means of the probabilities and of their products with the predictors, which at the optimum are those of the classes."""
+    each = [(F.round(F.avg(F.col(f"p_{c}") * v), 9) + F.lit(0.0)).alias(f"{c}_{t}") for c in CLASSES for t, v in (("share", F.lit(1.0)), *((f, F.col(f)) for f in FEATURES))]
+    return out.groupBy(*keys).agg(F.count("*").alias("n"), *each)
+
+
+@query(with_ctes("obs", f"SELECT {_MOMENTS} FROM obs"))
+def m01_fit_global(spark, d):
+    """An unpenalised model of all rows: its moments are those of the classes, which only the optimum has."""
+    from terrane.operators import fitting
+
+    rows = _scaled(spark, d)
+    return _moments(fitting.fit(rows, FEATURES, CLASSES, "none").predict(rows))
+
+
+@query(with_ctes("units obs", f"SELECT g0 AS g, {_MOMENTS} FROM obs JOIN units USING (unit) GROUP BY 1"))
+def m02_fit_fixed_clusters(spark, d):
+    """An unpenalised model of each cluster."""
+    from terrane.operators import fitting
+
+    rows = _scaled(spark, d).join(labels(spark, d), "unit")
+    return _moments(fitting.fit(rows, FEATURES, CLASSES, "none", cluster="g").predict(rows, cluster="g"), "g")
+
+
+@query()
+def m06_cross_validated_path(spark, d):
+    """Deviance and its standard error along paths of penalties for two alphas, over three folds; the values are checked in the tests."""
+    from terrane.functions.draws import draw
+    from terrane.operators import fitting
+
+    rows = _scaled(spark, d).withColumn("fold", (draw(51, "unit") % 3 + 1).cast("int")).select("y", "fold", *FEATURES)
+    path = fitting.cross_validated(rows, FEATURES, CLASSES, (0.5, 1.0), (0.1, 0.01, 0.001))
+    return spark.createDataFrame([(*t, t[0] == path.alpha and t[1] == path.lambda_min) for t in path.trials], "alpha double, lambda double, deviance double, error double, chosen boolean")
+
+
+# sources and sinks
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS id, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS name, n_nationkey / 8.0::DOUBLE AS v FROM nation")
+def s01_csv_round_trip(spark, d):
+    """Ids stay strings with their zeros, and nulls nulls, through a CSV file."""
+    from terrane.sources import tables
+
+    n = fx.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("id"), F.when(F.col("n_nationkey") % 5 != 0, F.col("n_name")).alias("name"), (F.col("n_nationkey") / 8.0).alias("v"))
+    path = tables.shared_path(spark, "nation")
+    tables.write_csv(n, path)
+    return tables.read_csv(spark, path, "id string, name string, v double")
+
+
+@query("SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS run, CAST(s_suppkey AS BIGINT) AS unit, CAST(g AS INTEGER) AS cluster, CASE g WHEN 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS weight FROM supplier, (SELECT unnest([1, 2]) AS g)")
+def s03_membership_files(spark, d):
+    """All membership files of a folder, as one long table."""
+    from terrane.sources import tables
+
+    u = fx.table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd").alias("run"), F.col("s_suppkey").cast("long").alias("unit"), F.array(F.lit(0.25), F.lit(0.75)).alias("weights"))
+    path = tables.shared_path(spark, "members")
+    for run in ("even", "odd"):
+        u.where(F.col("run") == run).write.mode("append").parquet(path)
+    return tables.membership_long(tables.read_membership(spark, path))
+
+
+@query("SELECT r_name AS run_id, r_regionkey > 2 AS pending, CASE WHEN r_regionkey <= 2 THEN CAST((SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS BIGINT) END AS n FROM region")
+def s06_study_resumed(spark, d):
+    """Runs that a study has yet to do; a run done twice counts once."""
+    from terrane.sources import tables
+
+    study = tables.Study(spark, tables.shared_path(spark, "study"), {"grid": "regions"}, code="v1")
+    n = fx.table(spark, d, "nation")
+    runs = fx.table(spark, d, "region").select(F.col("r_name").alias("run_id"), "r_regionkey")
+    for k in (0, 1, 2, 1):
+        study.save(runs.where(F.col("r_regionkey") == k).first()[0], "result", n.where(F.col("n_regionkey") == k).select("n_nationkey"))
+    done = study.report("result").groupBy("run_id").agg(F.count("*").alias("n"))
+    left = study.pending(runs).select("run_id", F.lit(True).alias("pending"))
+    return runs.join(left, "run_id", "left").join(done, "run_id", "left").select("run_id", F.coalesce("pending", F.lit(False)).alias("pending"), "n")
+
+
+@query("SELECT 'result' AS name, CAST(n_regionkey AS VARCHAR) AS run_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation GROUP BY 2 UNION ALL SELECT 'timing', CAST(r_regionkey AS VARCHAR), CAST(1 AS BIGINT), CAST(r_regionkey * 10 AS BIGINT) FROM region")
+def s08_report_files(spark, d):
+    """Every table of a study as one CSV file, read again."""
+    from terrane.sources import tables
+
+    study, n = tables.Study(spark, tables.shared_path(spark, "study"), {"grid": "regions"}), fx.table(spark, d, "nation")
+    for k in range(5):
+        study.save(str(k), "result", n.where(F.col("n_regionkey") == k).select(F.col("n_nationkey").cast("long").alias("v")))
+        study.save(str(k), "timing", spark.range(1).select((F.col("id") + 10 * k).alias("v")))
+    out = tables.shared_path(spark, "csv")
+    read = [tables.read_csv(spark, f"{out}/{t}", "v long, run_id string").withColumn("name", F.lit(t)) for t in study.write_reports(out)]
+    return read[0].unionByName(read[1]).groupBy("name", "run_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))

@@ -159,3 +159,24 @@ def test_plug_in_prediction(spark):
         for t in range(6):
             k = int(m[u, t][:, k].argmax())
             assert got[u, 2 * t] == CLASSES[k]
+
+
+def test_cross_validation_equals_fits_without_the_fold(spark):
+    from terrane.operators import distributed, fitting
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(300, 2))
+    y = np.array(["a", "b", "c"])[(x @ rng.normal(size=(2, 3)) + rng.gumbel(size=(300, 3))).argmax(1)]
+    rows = spark.createDataFrame([(str(c), i % 3 + 1, float(v), float(w)) for i, (c, (v, w)) in enumerate(zip(y, x))], "y string, fold int, u double, w double").cache()
+    path = fitting.cross_validated(rows, ("u", "w"), ("a", "b", "c"), (0.5, 1.0), (0.2, 0.01))
+    assert len(path.trials) == 4 and path.lambda_1se >= path.lambda_min
+    for alpha, lam, deviance, _ in path.trials[:2]:
+        total = 0.0
+        for f in (1, 2, 3):
+            e, _ = distributed.fit(rows.where(f"fold <> {f}"), None, 1, ["u", "w"], ("a", "b", "c"), alpha, lam)[0]
+            own = np.arange(300) % 3 + 1 == f
+            total -= 2 * np.log(e.predict(x[own])[np.arange(100), np.searchsorted(["a", "b", "c"], y[own])]).sum()
+        assert abs(total / 300 - deviance) < 1e-5
+    assert path.out_of_fold(rows).count() == 300
+    with pytest.raises(ValueError):
+        fitting.cross_validated(rows.where("fold = 1"), ("u", "w"), ("a", "b", "c"), (0.5,), (0.1,))
