@@ -27,7 +27,13 @@ as numbers into them. A chunk asks for the counts of its distinct n-grams: it ad
 own, cuts the sorted hashes by range, and the task of that range adds up all chunks'
 and answers in the same order. So a frequent n-gram costs one entry a chunk, not one an
 occurrence, and no task depends on it. The answered chunk builds the part of the automaton
-that its texts can reach, and walks. Only histograms of counts reach the driver.
+that its texts can reach, and walks. Only histograms of counts and names
+of files reach the driver.
+
+A task takes several chunks or ranges, one after the other, and Python writes the answers:
+for each file that Spark writes, Hadoop's local file system starts some processes (chmod),
+and each of these holds as much memory as the executor, shared with it, until its own
+program runs.
 
 There are (bytes / unit)^2 slices; unit grows with the root of the input beyond 58 GB of
 text, so that a slice keeps about 4 KB and the number of slices grows with the input.
@@ -40,6 +46,7 @@ hashes: of 10^9 different ones each is mistaken for another with odds of 10^-8.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -47,6 +54,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -57,6 +65,7 @@ from terrane.llm.textops import lower_ascii, mix64, span_hash, text_buffer, word
 from terrane.llm.tokenfile import opened
 
 UNIT, PER_UNIT = 12 << 20, 2700  # least bytes of text in a chunk and a range; unit^2 / bytes of text
+TOGETHER, TASKS = 3, 6  # chunks and ranges of UNIT bytes that a task takes; tasks at least, if there are as many groups
 STEPS, FOLDS, HELD = 512, 5, 1
 _END, _START, _PAIR, _TRIPLE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0x165667B19E3779F9))
 #: Kinds of n-grams: words, pairs, pairs with the end token, triples.
@@ -64,6 +73,7 @@ WORD, PAIR, LAST, TRIPLE = range(4)
 BITS = 56  # of an n-gram's key
 _SPARE = np.uint64(64 - BITS)
 _EXACT = 256  # counts below have a bucket each, others four for each power of two
+BUCKETS = _EXACT + 4 * 56  # up to 2^64
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -72,12 +82,12 @@ def _pack(a: np.ndarray) -> bytes:
     return bytes([planes.shape[0]]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    """As unsigned 64-bit integers."""
+def _unpack(b: bytes, kind: type = np.uint64) -> np.ndarray:
+    """As integers of a kind that is wide enough."""
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
     out[:, : b[0]] = planes.T
-    return out.view(np.uint64).ravel()
+    return out.view(kind).ravel()
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
@@ -95,6 +105,15 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    """Of each key its number among the distinct ones, sorted."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(np.r_[False, keys[1:] != keys[:-1]][: len(keys)], dtype=np.int32)
+    return out
+
+
 def held_out(doc_id: int | None) -> bool:
     """Is crc32 of the id as text, modulo FOLDS, the held-out fold? (a null id: of the empty text)"""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
@@ -145,7 +164,7 @@ def chunked(docs: DataFrame, unit: int, folder: str) -> DataFrame:
 
 
 class Chunk:
-    """A chunk's texts as words, and the keys of its pairs and triples."""
+    """A chunk's texts as words, and the keys of its pairs and triples, which are made when asked for."""
 
     def __init__(self, folder: str, file: str) -> None:
         store, root = opened(folder)
@@ -156,29 +175,37 @@ class Chunk:
         ids, known, held, lens, tokens, words = (raw[s:e] for s, e in zip(at, at[1:]))
         self.doc_ids = [i if k else None for i, k in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(known, bool).tolist())]
         self.held, self.lens = np.frombuffer(held, bool), np.frombuffer(lens, np.int64)
-        self.words, self.ids = _unpack_sorted(words), _unpack(tokens).astype(np.int64)
+        self.words, self.ids = _unpack_sorted(words), _unpack(tokens, np.int32)
         self.first = np.cumsum(self.lens) - self.lens
         self.last = self.first + self.lens - 1
-        self.train = ~np.repeat(self.held, self.lens)
-        now = self.words[self.ids]
-        before = np.empty_like(now)
-        before[1:] = now[:-1]
-        before[self.first] = _START
-        self.pairs = mix64(before * _PAIR + mix64(now)) >> _SPARE
-        #: Of each token the key of the pair before with it; none at a text's first token.
-        self.triples = np.empty_like(now)
-        self.triples[1:] = mix64(self.pairs[:-1] * _TRIPLE + mix64(now[1:] ^ _TRIPLE)) >> _SPARE
-        self.inner = np.ones(len(now), bool)
+        self.inner = np.ones(len(self.ids), bool)
         self.inner[self.first] = False
-        self.ends = np.zeros(len(now), bool)
+        self.ends = np.zeros(len(self.ids), bool)
         self.ends[self.last] = True
 
+    def pairs(self) -> np.ndarray:
+        """Of each token the key of the word before, or a text's start, with it."""
+        left = np.empty(len(self.ids), np.uint64)
+        left[1:] = (self.words * _PAIR)[self.ids[:-1]]
+        left[self.first] = np.array([_START]) * _PAIR
+        left += mix64(self.words)[self.ids]
+        return mix64(left) >> _SPARE
+
+    def triples(self, pairs: np.ndarray) -> np.ndarray:
+        """Of each token the key of the pair before with it; none at a text's first token."""
+        out = np.zeros(len(self.ids), np.uint64)
+        out[1:] = mix64(pairs[:-1] * _TRIPLE + mix64(self.words ^ _TRIPLE)[self.ids[1:]]) >> _SPARE
+        return out
+
     def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each kind its distinct keys, sorted, and their training counts."""
-        yield WORD, self.words >> _SPARE, np.bincount(self.ids[self.train], minlength=len(self.words))
-        for kind, keys, which in ((PAIR, self.pairs, ~self.ends), (LAST, self.pairs, self.ends), (TRIPLE, self.triples, self.inner)):
+        train = ~np.repeat(self.held, self.lens)
+        yield WORD, self.words >> _SPARE, np.bincount(self.ids[train], minlength=len(self.words))
+        pairs = self.pairs()
+        for kind, which in ((PAIR, ~self.ends), (LAST, self.ends), (TRIPLE, self.inner)):
+            keys = self.triples(pairs) if kind == TRIPLE else pairs
             every, _ = _runs(keys[which])
-            own, times = _runs(keys[which & self.train])
+            own, times = _runs(keys[which & train])
             counts = np.zeros(len(every), np.int64)
             counts[np.searchsorted(every, own)] = times
             yield kind, every, counts
@@ -191,7 +218,8 @@ def _slices(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 ASK = "part int, chunk long, file string, keys binary, counts binary"
-ANSWER = "part int, chunk long, file string, counts binary, bucket int, types long, tokens long"
+ANSWER = "part int, chunk long, file string, counts binary"
+DONE = "kind int, bucket int, types long, tokens long, name string"
 
 
 def asked(manifest: DataFrame, folder: str, ranges: int) -> DataFrame:
@@ -213,26 +241,55 @@ def buckets(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < _EXACT, counts, _EXACT + np.floor(4 * np.log2(np.maximum(counts, 1) / _EXACT)).astype(np.int64))
 
 
-def added_up(slices: DataFrame) -> DataFrame:
-    """Answers every slice with the total of each of its keys, in its order; and rows without a chunk: a histogram of the totals."""
+def added_up(slices: DataFrame, folder: str, ranges: int) -> DataFrame:
+    """Answers every slice with the total of each of its keys, in its order; slices come by part. A task's answers (ANSWER)
+    are a file in the folder. Returns the files' names, and of each task and kind a histogram of the totals."""
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary()]
+    schema = pa.schema([(c.split()[0], t) for c, t in zip(ANSWER.split(", "), kinds)])
 
-    def total(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        chunks, files = table.column("chunk").to_pylist(), table.column("file").to_pylist()
+    def total(part: int, table: pa.Table, types: np.ndarray, tokens: np.ndarray) -> pa.Table:
         keys = [_unpack_sorted(b.as_py()) for b in table.column("keys")]
         counts = np.concatenate([_unpack(b.as_py()) for b in table.column("counts")])
         size = np.cumsum([len(k) for k in keys])
         every, back = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(back, weights=counts, minlength=len(every)).astype(np.int64)
-        rows = [(part, c, f, _pack(sums[back[e - len(k) : e]].astype(np.uint64)), None, None, None) for c, f, k, e in zip(chunks, files, keys, size)]
         seen = sums[sums > 0]
         own = buckets(seen)
-        types, tokens = np.bincount(own), np.bincount(own, weights=seen)
-        rows += [(part, None, None, None, int(b), int(types[b]), int(tokens[b])) for b in np.flatnonzero(types)]
-        kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in ANSWER.split(", ")])
+        types += np.bincount(own, minlength=len(types))
+        tokens += np.bincount(own, weights=seen, minlength=len(tokens)).astype(np.int64)
+        answers = [_pack(sums[back[e - len(k) : e]].astype(np.uint64)) for k, e in zip(keys, size)]
+        return pa.table([pa.array([part] * len(keys), pa.int32()), table.column("chunk"), table.column("file"), pa.array(answers, pa.binary())], schema=schema)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+        part, held = None, []
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)]).tolist()
+            for s, e in zip(cuts, [*cuts[1:], len(own)]):
+                if held and own[s] != part:
+                    yield part, pa.Table.from_batches(held)
+                    held = []
+                part = int(own[s])
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield part, pa.Table.from_batches(held)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, tokens = np.zeros((2, 4, BUCKETS), np.int64)
+        store, root = opened(folder)
+        name, sink = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}.parquet", None
+        for part, table in parts(batches):
+            if sink is None:
+                store.create_dir(root, recursive=True)
+                sink = pq.ParquetWriter(f"{root}/{name}", schema, filesystem=store, compression="zstd", use_dictionary=False, write_statistics=False)
+            sink.write_table(total(part, table, types[part // ranges], tokens[part // ranges]))
+        if sink is not None:
+            sink.close()
+            rows = [(int(k), int(b), int(types[k, b]), int(tokens[k, b]), None) for k, b in zip(*np.nonzero(types))] + [(None, None, None, None, name)]
+            out = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out)], names=[c.split()[0] for c in DONE.split(", ")])
 
-    return slices.groupBy("part").applyInArrow(total, ANSWER)
+    return slices.sortWithinPartitions("part").mapInArrow(kernel, DONE)
 
 
 Histogram = dict[int, tuple[int, int]]
@@ -286,17 +343,22 @@ class Automaton:
 
     def __init__(self, chunk: Chunk, answers: list[np.ndarray], model: Smoothing) -> None:
         count, pair_count, last_count, triple_count = answers
-        self.word, self.pair, self.triple = chunk.ids, np.empty(len(chunk.ids), np.int64), np.zeros(len(chunk.ids), np.int64)
-        _, self.pair[~chunk.ends] = np.unique(chunk.pairs[~chunk.ends], return_inverse=True)
-        _, last = np.unique(chunk.pairs[chunk.ends], return_inverse=True)
-        self.pair[chunk.ends] = last + len(pair_count)
+        pairs, ends, inner = chunk.pairs(), chunk.ends, np.flatnonzero(chunk.inner)
+        self.word, self.pair = chunk.ids, np.empty(len(chunk.ids), np.int32)
+        self.pair[~ends] = _numbered(pairs[~ends])
+        self.pair[ends] = _numbered(pairs[ends]) + np.int32(len(pair_count))
+        triples = chunk.triples(pairs)[inner]
+        del pairs
+        # a text's first token has the number after all triples, whose arc is never there
+        self.triple = np.full(len(chunk.ids), len(triple_count), np.int32)
+        self.triple[inner] = _numbered(triples)
+        del triples
         pair_count = np.r_[pair_count, last_count]
-        _, self.triple[chunk.inner] = np.unique(chunk.triples[chunk.inner], return_inverse=True)
         # one token that each n-gram ends with tells its words
-        at2, at3 = np.empty(len(pair_count), np.int64), np.empty(len(triple_count), np.int64)
-        at2[self.pair] = np.arange(len(self.pair))
-        inner = np.flatnonzero(chunk.inner)
+        at2, at3 = np.empty(len(pair_count), np.int32), np.empty(len(triple_count), np.int32)
+        at2[self.pair] = np.arange(len(self.pair), dtype=np.int32)
         at3[self.triple[inner]] = inner
+        del inner
         p = model.prob(count)
         context = np.where(chunk.inner[at2], count[self.word[at2 - 1]], model.texts)
         fail = model.backoff(context, model.k2)
@@ -306,7 +368,7 @@ class Automaton:
         p3 = (1 - fail) * triple_count / np.maximum(context, 1) + fail * p2[self.pair[at3]]
         self.arc1, self.known = np.log10(p), count > 0
         self.arc2 = np.where(pair_count > 0, np.log10(p2), np.nan)
-        self.arc3 = np.where(triple_count > 0, np.log10(p3), np.nan)
+        self.arc3 = np.r_[np.where(triple_count > 0, np.log10(p3), np.nan), np.nan]
         self.fail1, self.fail2 = np.log10(model.backoff(count, model.k2)), np.log10(model.backoff(pair_count, model.k3))
         self.fail_start = float(np.log10(model.backoff(np.array(model.texts), model.k2)))
         self.inner, self.first, self.lens = chunk.inner, chunk.first, chunk.lens
@@ -320,30 +382,33 @@ class Automaton:
         size = np.minimum(STEPS, self.lens[text] - nth * STEPS)
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
-        of_word, of_pair, of_triple = self.arc1[self.word], self.arc2[self.pair], np.where(self.inner, self.arc3[self.triple] if len(self.arc3) else np.nan, np.nan)
-        fail_word, fail_pair = self.fail1[self.word], self.fail2[self.pair]
-        known = self.known[self.word]
         out = np.empty(len(self.word))
         # the state's order and the log10 weights of its failure arcs: from pair to word, from word to none
-        state = np.where(self.inner[begin], np.where(of_pair[begin - 1] == of_pair[begin - 1], 2, known[begin - 1].astype(int)), 1)
-        down2 = np.where(self.inner[begin], fail_pair[begin - 1], 0.0)
-        down1 = np.where(self.inner[begin], fail_word[begin - 1], self.fail_start)
+        inner, word, pair = self.inner[begin], self.word[begin - 1], self.pair[begin - 1]
+        state = np.where(inner, np.where(np.isnan(self.arc2[pair]), self.known[word].astype(int), 2), 1)
+        down2, down1 = np.where(inner, self.fail2[pair], 0.0), np.where(inner, self.fail1[word], self.fail_start)
         live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")  # pieces longer than each step
         for step, n in enumerate(live.tolist()):
             at = begin[:n] + step
             state, down1, down2 = state[:n], down1[:n], down2[:n]
-            a2, a3 = of_pair[at], of_triple[at]
+            word, pair = self.word[at], self.pair[at]
+            a2, a3 = self.arc2[pair], self.arc3[self.triple[at]]
             seen2 = a2 == a2
             take3 = (state == 2) & (a3 == a3)
             take2 = ~take3 & (state >= 1) & seen2
             fell2 = (state == 2) & ~take3
             fell1 = (state >= 1) & ~take3 & ~take2
-            out[at] = np.where(take3, a3, np.where(take2, a2, of_word[at])) + np.where(fell2, down2, 0.0) + np.where(fell1, down1, 0.0)
-            state = np.where(seen2, 2, known[at].astype(int))
-            down1, down2 = fail_word[at], fail_pair[at]
+            out[at] = np.where(take3, a3, np.where(take2, a2, self.arc1[word])) + np.where(fell2, down2, 0.0) + np.where(fell1, down1, 0.0)
+            state = np.where(seen2, 2, self.known[word].astype(int))
+            down1, down2 = self.fail1[word], self.fail2[pair]
         return out
 
 
+def tasks(groups: int, each: int) -> int:
+    """For so many groups, of which a task takes ``each``."""
+    return min(groups, max(TASKS, ceil(groups / each)))
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -353,16 +418,27 @@ def scored(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     unit = max(UNIT, int(sqrt(size * PER_UNIT)))
     ranges, folder = max(2, ceil(size / unit)), new_path(spark, "chunks")
-    manifest = written(chunked(docs, unit, folder), "manifest")
+    together = max(1, TOGETHER * UNIT // unit)
+    # dealt by number: a task that runs again names other files, and its chunks must go where they went
+    manifest = written(chunked(docs, unit, folder).repartition(ceil(ranges / 4096), "chunk"), "manifest")
     sums = manifest.agg(F.count("*"), F.sum("texts")).first()
     n_chunks, texts = max(1, sums[0]), sums[1] or 0
     slices = asked(manifest.select("chunk", "file").repartitionByRange(n_chunks, "chunk"), folder, ranges)
-    answers = written(added_up(slices.repartition(4 * ranges, "part")), "answers")
+    answered = new_path(spark, "answers")
+    done = added_up(slices.repartition(tasks(4 * ranges, 4 * together), "part"), answered, ranges)
     totals: dict[int, Histogram] = {}
-    # a bucket of counts each, so a few hundred rows a kind
-    by_bucket = answers.where("bucket IS NOT NULL").groupBy(F.floor(F.col("part") / ranges).cast("int").alias("kind"), "bucket").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"))
-    for r in by_bucket.collect():
-        totals.setdefault(r["kind"], {})[r["bucket"]] = (r["types"], r["tokens"])
+    # a bucket of counts each, so a few hundred rows a kind, and one row with a name a task
+    by_bucket = done.groupBy("kind", "bucket").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.collect_list("name").alias("names"))
+    for r in written(by_bucket.repartition(1), "totals").collect():
+        if r["kind"] is None:
+            answers = spark.read.schema(ANSWER).parquet(*(f"{answered}/{name}" for name in r["names"]))
+        else:
+            totals.setdefault(r["kind"], {})[r["bucket"]] = (r["types"], r["tokens"])
+    if not sums[0]:
+        return spark.createDataFrame([], SCORES)
+    # the slices are answered, and Spark deletes their files when the driver has collected their plan
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     model = Smoothing(totals, texts)
 
     def score(table: pa.Table) -> pa.Table:
@@ -370,14 +446,17 @@ def scored(docs: DataFrame) -> DataFrame:
         parts = table.column("part").to_numpy()
         rows = [np.flatnonzero(parts // ranges == kind) for kind in range(4)]
         counts = [np.concatenate([np.zeros(0, np.int64), *(_unpack(table.column("counts")[i].as_py()).astype(np.int64) for i in own[np.argsort(parts[own])].tolist())]) for own in rows]
-        logs = Automaton(c, counts, model).walk()
+        automaton = Automaton(c, counts, model)
+        count = counts[WORD]
+        del counts
+        logs = automaton.walk()
         add = lambda x: np.add.reduceat(x, c.first)
-        known = (counts[WORD] > 0).astype(np.int64)
-        cols = [c.doc_ids, c.held, c.lens, add(known[c.ids]), np.full(len(c.lens), model.tokens), add(model.base(counts[WORD])[c.ids]), add(logs)]
+        known = (count > 0).astype(np.int64)
+        cols = [c.doc_ids, c.held, c.lens, add(known[c.ids]), np.full(len(c.lens), model.tokens), add(model.base(count)[c.ids]), add(logs)]
         kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
         return pa.table([pa.array(x, t) for x, t in zip(cols, kinds)], names=[f.split()[0] for f in SCORES.split(", ")])
 
-    rows = answers.where("chunk IS NOT NULL").select("part", "chunk", "file", "counts").repartitionByRange(n_chunks, "chunk")
+    rows = answers.repartitionByRange(tasks(n_chunks, together), "chunk")
     return rows.groupBy("chunk").applyInArrow(score, SCORES)
 
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terrane.llm import bpe, components, lm, media, mixing, pii, quality, simhash, tokenfile, toxicity, urls
+from terrane.llm import bpe, components, lm, media, mixing, pii, quality, runtime, simhash, tokenfile, toxicity, urls
 from terrane.llm.textops import text_buffer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -275,6 +276,44 @@ def test_language_model_equals_a_plain_one_and_sums_to_one(spark, monkeypatch):
     assert got[free[0]] > got[free[2]] + 10  # what occurs twice is told from what occurs once
 
 
+def test_language_model_writes_few_files(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = {i: [f"w{k}" for k in rng.zipf(1.5, 60) % 5000] for i in range(240)}
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(40, "doc_id").cache()
+    whole = {r.doc_id: r.score for r in lm.scored(rows).collect()}
+    tables = {}
+    monkeypatch.setattr(lm, "written", lambda df, name: tables.setdefault(name, runtime.written(df, name)))
+    monkeypatch.setattr(lm, "UNIT", 1000)
+    monkeypatch.setattr(lm, "PER_UNIT", 1)  # as many ranges as chunks, though the input is small
+    out = lm.scored(rows)
+    chunks = tables["manifest"].count()
+    answers = out.inputFiles()
+    parts = spark.read.parquet(*answers).select("part").distinct().count()
+    assert chunks > 30 and parts > 150
+    assert len(tables["manifest"].inputFiles()) == 1
+    assert len(answers) <= max(16, math.ceil(parts / 10))
+    assert out.rdd.getNumPartitions() <= 16
+    got = {r.doc_id: r.score for r in out.collect()}
+    assert got == pytest.approx(whole, rel=1e-9) and len(got) == len(texts)
+
+
+def test_language_model_takes_little_memory_a_token(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 1500) % 50000)) for i in range(200)], "doc_id long, text string").coalesce(1)
+    folder = runtime.new_path(spark, "chunks")
+    file = lm.chunked(rows, 64 << 20, folder).first()["file"]
+    answers = [counts for _, _, counts in lm.Chunk(folder, file).asked()]
+    totals = {kind: {int(b): (int((lm.buckets(c) == b).sum()), int(c[lm.buckets(c) == b].sum())) for b in np.unique(lm.buckets(c[c > 0]))} for kind, c in enumerate(answers)}
+    tracemalloc.start()
+    try:
+        logs = lm.Automaton(lm.Chunk(folder, file), answers, lm.Smoothing(totals, 160)).walk()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(logs) == 200 * 1501 and np.isfinite(logs).all()
+    assert peak < 80 * len(logs)  # it took 100 with all of a token's weights and 64-bit numbers at once
+
+
 def test_language_model_prefers_seen_words(spark):
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in range(12)]
